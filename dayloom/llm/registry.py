@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dayloom.llm import ogg, pieces, urlfilter, warc
+from dayloom.llm import ogg, pieces, quality, urlfilter, warc
 
 QUERIES = {
     "op2_warc_zip": warc.op2_warc_zip,
     "op4_ogg_media": ogg.op4_ogg_media,
+    "op7_quality_pu": quality.op7_quality_pu,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_url_filter": urlfilter.op9_url_filter,
 }
