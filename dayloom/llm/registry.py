@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dayloom.llm import ogg, pieces, quality, urlfilter, warc
+from dayloom.llm import ogg, pieces, quality, toxicity, urlfilter, warc
 
 QUERIES = {
     "op2_warc_zip": warc.op2_warc_zip,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_quality_pu": quality.op7_quality_pu,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_url_filter": urlfilter.op9_url_filter,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op2_warc_zip": """
