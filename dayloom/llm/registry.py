@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dayloom.llm import ogg, pieces, quality, toxicity, urlfilter, warc
+from dayloom.llm import ann, ogg, pieces, quality, toxicity, urlfilter, warc
 
 QUERIES = {
+    "op1_kmeans_tree": ann.op1_kmeans_tree,
     "op2_warc_zip": warc.op2_warc_zip,
     "op4_ogg_media": ogg.op4_ogg_media,
     "op7_quality_pu": quality.op7_quality_pu,
