@@ -11,7 +11,7 @@ def brute(rows, every, k):
     out = {}
     for i in good:
         if i % every == 0:
-            s = sorted((-float(ann.cosine(good[i], v[None])[0]), j) for j, v in good.items() if j != i)[:k]
+            s = sorted((-float(ann.cosine(good[i][None], v[None])[0]), j) for j, v in good.items() if j != i)[:k]
             out[i] = [(j, -c) for c, j in s]
     return out
 
