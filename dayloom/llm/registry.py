@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dayloom.llm import ann, ogg, pieces, quality, toxicity, urlfilter, warc
+from dayloom.llm import ann, ngram_join, ogg, pieces, quality, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_kmeans_tree": ann.op1_kmeans_tree,
     "op2_warc_zip": warc.op2_warc_zip,
     "op4_ogg_media": ogg.op4_ogg_media,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_quality_pu": quality.op7_quality_pu,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_url_filter": urlfilter.op9_url_filter,
