@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dayloom.llm import ann, ngram_join, ogg, pieces, quality, toxicity, urlfilter, warc
+from dayloom.llm import ann, mixing, ngram_join, ogg, pieces, pii, quality, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_kmeans_tree": ann.op1_kmeans_tree,
     "op2_warc_zip": warc.op2_warc_zip,
+    "op3_private_spans": pii.op3_private_spans,
     "op4_ogg_media": ogg.op4_ogg_media,
+    "op5_soft_mixing": mixing.op5_soft_mixing,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_quality_pu": quality.op7_quality_pu,
     "op8_sentencepiece": pieces.op8_sentencepiece,
