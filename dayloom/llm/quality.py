@@ -178,9 +178,10 @@ def fit_pu(shapes: DataFrame, labels: DataFrame, label: str = "quality", folds:
     if not n_p:
         return PuModel(np.zeros(FEATURES), 0.5, 0.5)
     mp, mu = s_p / n_p, s_u / n_u
-    first = np.linalg.solve(0.5 * (mp + mu) + 1e-4 * np.eye(FEATURES), 0.5 * (mp[0] - mu[0]))  # p against u, equal weights
+    ridge = 1e-4 + 0.3 / n_p  # for few positives a stiffer fit
+    first = np.linalg.solve(0.5 * (mp + mu) + ridge * np.eye(FEATURES), 0.5 * (mp[0] - mu[0]))  # p against u, equal weights
     prior = estimate_prior(rows, first * 0.999)
-    weights, risk = minimise(mp, mu, prior)
+    weights, risk = minimise(mp, mu, prior, ridge)
     return PuModel(weights, prior, risk)
 
 
