@@ -120,6 +120,13 @@ def links(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both) > 0
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array; costs a binary search each, whatever its length."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.empty(0, np.int64), pa.int64()))
@@ -138,7 +145,7 @@ def _count(docs: DataFrame, k: int, num: int, den: int, known, floor: int) -> tu
                 lead = s[: lead_length(len(s), num, den)]
                 if frequent is None:
                     found.append(lead)
-                elif len(lead) and 4 * np.isin(lead, frequent).sum() >= len(lead):
+                elif len(lead) and 4 * among(lead, frequent).sum() >= len(lead):
                     found.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.empty(0, np.int64), pa.int64())], names=["v"])
 
@@ -164,7 +171,7 @@ def _led(docs: DataFrame, k: int, num: int, den: int, frequent) -> DataFrame:
             n, digest, rare, need, lead_n, lead = [], [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, k)
-                hot = np.isin(s, frequent.value) if len(frequent.value) else np.zeros(len(s), bool)
+                hot = among(s, frequent.value)
                 length = lead_length(len(s), num, den)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
