@@ -4,14 +4,19 @@ written tables that cut lineage, and Arrow batches of bounded size."""
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Functions sent to executors carry their code with them: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules["dayloom.llm"])
+
 #: Rows of one Arrow batch that hold texts. Texts of 100 KB then make a batch of 25 MB.
 TEXT_ROWS = 256
 
