@@ -115,4 +115,5 @@ strict_days AS (SELECT * FROM aligned WHERE valid_day_strict IS TRUE AND corrupt
 
 
 def oracle(select: str) -> str:
-    return f"WITH {FACTS_SQL} {select}"
+    """A query after the common tables; one that begins with a comma adds tables of its own."""
+    return f"WITH {FACTS_SQL.strip()}{select if select.lstrip().startswith(',') else ' ' + select}"
