@@ -21,6 +21,7 @@ from dayloom.functions.exprs import KEY, num
 SPLITS = ("train", "valid", "test")
 CLASSIFIERS = ("dummy", "logistic", "logistic_l1", "elastic_net", "random_forest", "boosting")
 REGRESSORS = ("dummy_median", "ridge", "lasso", "elastic_net", "random_forest", "boosting")
+SCORE = "__score"  # what models add, so that no column of a table clashes with it
 GRID = tuple(round(0.05 * i, 2) for i in range(1, 20))
 
 
@@ -139,7 +140,7 @@ class Fitted:
     constant: float | None
     columns: dict[str, str | None]
 
-    def score(self, df: DataFrame, out: str = "score") -> DataFrame:
+    def score(self, df: DataFrame, out: str = SCORE) -> DataFrame:
         """Probability of 1, or the prediction of a regressor."""
         if self.pipeline is None:
             return df.withColumn(out, F.lit(self.constant))
@@ -194,8 +195,8 @@ def evaluate_classifiers(df: DataFrame, features: Sequence[str], target: str, mo
     features, out = [c for c in features if c in df.columns], []
     for name in models:
         scored = fit(rows.where("split = 'train'"), features, target, name, True, seed).score(rows).cache()
-        threshold = tune_threshold(scored.where("split = 'valid'"), target, "score", tune)[0] if tune else 0.5
-        out += [{"model": name, "split": s, "threshold": threshold, **classification_metrics(scored.where(F.col("split") == s), target, "score", threshold)} for s in SPLITS]
+        threshold = tune_threshold(scored.where("split = 'valid'"), target, SCORE, tune)[0] if tune else 0.5
+        out += [{"model": name, "split": s, "threshold": threshold, **classification_metrics(scored.where(F.col("split") == s), target, SCORE, threshold)} for s in SPLITS]
         scored.unpersist()
     rows.unpersist()
     return out
@@ -207,8 +208,8 @@ def evaluate_regressors(df: DataFrame, features: Sequence[str], target: str, mod
     for name in models:
         scored = fit(rows.where("split = 'train'"), features, target, name, False, seed).score(rows)
         if bounds:
-            scored = scored.withColumn("score", F.greatest(F.lit(float(bounds[0])), F.least(F.lit(float(bounds[1])), F.col("score"))))
-        out += [{"model": name, "split": s, **regression_metrics(scored.where(F.col("split") == s), target, "score").first().asDict()} for s in SPLITS]
+            scored = scored.withColumn(SCORE, F.greatest(F.lit(float(bounds[0])), F.least(F.lit(float(bounds[1])), F.col(SCORE))))
+        out += [{"model": name, "split": s, **regression_metrics(scored.where(F.col("split") == s), target, SCORE).first().asDict()} for s in SPLITS]
     rows.unpersist()
     return out
 
@@ -223,7 +224,7 @@ def forward_select(df: DataFrame, candidates: Sequence[str], target: str, model:
         tried = []
         for c in left:
             scored = fit(rows.where("split = 'train'"), [*chosen, c], target, model, True, seed).score(rows.where("split = 'valid'"))
-            m = classification_metrics(scored, target, "score", tune_threshold(scored, target, "score", tune)[0])
+            m = classification_metrics(scored, target, SCORE, tune_threshold(scored, target, SCORE, tune)[0])
             tried.append((m[metric] if m[metric] is not None else -1.0, m["roc_auc"] or -1.0, m["average_precision"] or -1.0, c))
         top = max(tried, key=lambda t: t[:3])
         if best is not None and top[0] < best + least_gain:
@@ -255,7 +256,7 @@ def importance(model: Fitted, top_n: int = 20) -> list[tuple[str, float]]:
 def permutation_importance(model: Fitted, df: DataFrame, target: str, metric: str = "roc_auc", repeats: int = 5, seed: int = 42) -> list[tuple[str, float]]:
     """Mean loss of the metric when a raw column is shuffled: rows trade values by joining two random
     orders of row numbers."""
-    base = classification_metrics(model.score(df), target, "score")[metric]
+    base = classification_metrics(model.score(df), target, SCORE)[metric]
     out = []
     for c in model.columns:
         losses = []
@@ -263,7 +264,7 @@ def permutation_importance(model: Fitted, df: DataFrame, target: str, metric: st
             place = lambda s: F.row_number().over(Window.orderBy(F.rand(s)))
             values = df.select(F.col(c).alias("__v"), place(seed + 31 * k).alias("__i")).cache()
             mixed = df.drop(c).withColumn("__i", place(seed + 31 * k + 7)).join(values, "__i").withColumnRenamed("__v", c).drop("__i")
-            got = classification_metrics(model.score(mixed), target, "score")[metric]
+            got = classification_metrics(model.score(mixed), target, SCORE)[metric]
             losses.append((base or 0.0) - (got or 0.0))
             values.unpersist()
         out.append((c, sum(losses) / len(losses)))

@@ -80,7 +80,7 @@ def _hundred(part, total):
 
 
 def quality_mix(quality: DataFrame) -> DataFrame:
-    counts = quality.groupBy(F.col("day_quality_label_strict").alias("strict_label")).agg(F.count("*").alias("days"))
+    counts = quality.groupBy(optional(quality, "day_quality_label_strict", "string").alias("strict_label")).agg(F.count("*").alias("days"))
     return counts.withColumn("pct_days", _hundred(F.col("days"), F.sum("days").over(Window.partitionBy(F.lit(1))))).orderBy(F.desc("days"), F.col("strict_label").asc_nulls_last())
 
 
