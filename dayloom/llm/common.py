@@ -4,13 +4,15 @@ written tables that cut lineage, and Arrow batches of bounded size."""
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,31 @@ def remove_dir(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are over; it does so when the driver
+    collects its garbage, which else may come late."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Bits of a filter that is sent to executors (4 MB); at most as many positions reach the driver.
+FILTER_BITS = 1 << 25
+
+
+def bit_filter(values: DataFrame) -> Broadcast:
+    """A bitmap of the low bits of a column of longs, of fixed size. It passes every value of the
+    column and, the fuller it is, ever more others: what it lets through still has to be joined."""
+    positions = values.select(F.col(values.columns[0]).bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int").alias("p")).distinct()
+    bits = np.zeros(FILTER_BITS, bool)
+    bits[np.asarray(positions.toArrow()["p"])] = True
+    return values.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+
+def passes(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values & (FILTER_BITS - 1)
+    return (bitmap[at >> 3] >> (7 - (at & 7))) & 1 == 1
+
+
 class Scratch:
     """Tables written to the shared folder. ``put`` cuts lineage, so a lost executor
     costs a reread; ``drop`` frees what no later plan reads; the rest goes at exit."""
@@ -66,6 +93,7 @@ class Scratch:
             kept = self.paths.pop(id(t), None)
             if kept:
                 remove_dir(self.spark, kept[1])
+        release(self.spark)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

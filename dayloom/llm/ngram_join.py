@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import Scratch, small_batches
+from dayloom.llm.common import Scratch, bit_filter, passes, release, small_batches
 
 FREQUENT = 1 << 20  # bound on the number of frequent shingles, which are broadcast (8 MB)
 LEAST_FREQUENT = 16  # documents that a frequent shingle leads, at least
@@ -164,7 +164,7 @@ def _count(docs: DataFrame, k: int, num: int, den: int, known, floor: int) -> tu
 
 def _led(docs: DataFrame, k: int, num: int, den: int, frequent) -> DataFrame:
     """doc_id, n, digest, rare (shingles that are not frequent), need, lead_n, lead: the first
-    shingles in the global order, twice as many as are exchanged."""
+    shingles in the global order, half as many again as are exchanged."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
@@ -178,7 +178,7 @@ def _led(docs: DataFrame, k: int, num: int, den: int, frequent) -> DataFrame:
                 rare.append(len(s) - int(hot.sum()))
                 need.append(needed(len(s), num, den) if len(s) else 0)
                 lead_n.append(length)
-                lead.append(np.concatenate([s[~hot], s[hot] + LAST])[: 2 * length])
+                lead.append(np.concatenate([s[~hot], s[hot] + LAST])[: length + length // 2])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(rare, pa.int32()), pa.array(need, pa.int32()), pa.array(lead_n, pa.int32()), _lists(lead)], names=["doc_id", "n", "digest", "rare", "need", "lead_n", "lead"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest binary, rare int, need int, lead_n int, lead array<long>")
@@ -209,9 +209,18 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b) of the pairs (x, y) whose whole texts link. Texts are dealt by id once and used for
-    both sides; rows arrive sorted by y, whose shingles are kept from row to row."""
+def _verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> DataFrame:
+    """(a, b) of the pairs (x, y) whose whole texts link. Only texts of documents in a pair are moved
+    (a bit filter drops most others before the shuffle), once for both sides; rows arrive sorted
+    by y, whose shingles are kept from row to row."""
+    pairs = scratch.put(pairs.select("x", "y"), "pairs")
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    wanted = bit_filter(ids)
+
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(b.column(0).is_valid())
+            yield b.filter(pa.array(passes(wanted.value, np.asarray(b.column(0), np.int64))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_id, last = None, None
@@ -224,28 +233,65 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
                 keep.append(links(shingles(x_text[i], k), last, num, den))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], names=["a", "b"])
 
+    texts = docs.mapInArrow(pick, docs.schema).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = scratch.put(texts, "texts")
     x = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text"))
     y = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("y_text"))
-    rows = pairs.select("x", "y").join(x, "x").join(y, "y").select("x", "y", "x_text", "y_text")
-    return rows.mapInArrow(run, "a long, b long")
+    rows = pairs.join(x, "x").join(y, "y").select("x", "y", "x_text", "y_text")
+    found = scratch.put(rows.mapInArrow(run, "a long, b long"), "links")
+    scratch.drop(pairs, texts)
+    return found
+
+
+def _exchanged(heads: DataFrame, shared=None) -> DataFrame:
+    """v of every class's leading shingles; with a bit filter also x, rare, n and need, of those
+    that pass it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                lists = b.column("lead")
+                sizes, lead_n = np.asarray(lists.value_lengths()), np.asarray(b.column("lead_n"))
+                row = np.repeat(np.arange(b.num_rows), sizes)
+                v, place = np.asarray(lists.flatten()), np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                keep = place < lead_n[row]
+                if shared is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(v[keep])], names=["v"])
+                else:
+                    keep &= passes(shared.value, v)
+                    take = pa.array(row[keep])
+                    yield pa.RecordBatch.from_arrays([pa.array(v[keep]), *[b.column(c).take(take) for c in ("doc_id", "rare", "n", "need")]], names=["v", "x", "rare", "n", "need"])
+
+    names = ["lead_n", "lead"] if shared is None else ["doc_id", "rare", "n", "need", "lead_n", "lead"]
+    return heads.select(*names).mapInArrow(run, "v long" if shared is None else "v long, x long, rare int, n int, need int")
 
 
 def _possible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs left by exact bounds: sizes, and the shingles up to the place in the global order
     to which both leading lists are complete."""
-    names = ("n", "rare", "lead")
     out = pairs.select("x", "y")
     for side in ("x", "y"):
-        out = out.join(heads.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in names]), side)
-    n = F.col("x_n") + F.col("y_n")
-    # |x & y| >= num / (num + den) * (|x| + |y|)
-    most = n - 2 * F.ceil(F.lit(num) * n / F.lit(num + den))
-    end = lambda s: F.when(F.size(f"{s}_lead") == F.col(f"{s}_n"), F.lit((1 << 63) - 1)).otherwise(F.array_max(f"{s}_lead"))
-    out = out.withColumn("cut", F.least(end("x"), end("y")))
-    upto = lambda s: F.size(F.filter(f"{s}_lead", lambda v: v <= F.col("cut")))
-    differ = upto("x") + upto("y") - 2 * F.size(F.filter(F.array_intersect("x_lead", "y_lead"), lambda v: v <= F.col("cut")))
-    sizes = (F.lit(den) * F.least("x_n", "y_n") >= F.lit(num) * F.greatest("x_n", "y_n"))
-    return out.where(sizes & (differ <= most)).select("x", "y")
+        out = out.join(heads.select(F.col("doc_id").alias(side), F.col("n").alias(f"{side}_n"), F.col("lead").alias(f"{side}_lead")), side)
+    out = out.where(F.lit(den) * F.least("x_n", "y_n") >= F.lit(num) * F.greatest("x_n", "y_n"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            x_n, y_n = np.asarray(b.column(2)), np.asarray(b.column(3))
+            keep = np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                x, y = np.asarray(b.column(4)[i].values), np.asarray(b.column(5)[i].values)
+                n = int(x_n[i]) + int(y_n[i])
+                most = n - 2 * -(-num * n // (num + den))  # |x & y| >= num / (num + den) * (|x| + |y|)
+                if len(x) < x_n[i]:
+                    y = y[: np.searchsorted(y, x[-1], "right")]
+                if len(b.column(5)[i]) < y_n[i]:
+                    x = x[: np.searchsorted(x, np.asarray(b.column(5)[i].values)[-1], "right")]
+                keep[i] = len(x) + len(y) - 2 * int(among(x, y).sum()) <= most
+            kept = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept)], names=["x", "y"])
+
+    return out.select("x", "y", "x_n", "y_n", "x_lead", "y_lead").mapInArrow(run, "x long, y long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -258,27 +304,31 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         shared = spark.sparkContext.broadcast(first)
         first = np.union1d(first, _count(docs, k, num, den, shared, floor)[0])
     frequent = spark.sparkContext.broadcast(first)
-    led = scratch.put(_led(docs, k, num, den, frequent), "led")
+    whole = scratch.put(_led(docs, k, num, den, frequent), "led")
+    led = scratch.put(whole.select("doc_id", "n", "digest"), "sizes")
 
     classes = led.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class"))
     classes = scratch.put(classes, "classes")
-    heads = led.join(classes.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id"])
+    heads = whole.drop("digest").join(classes.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id"])
     heads = scratch.put(heads, "heads")
-
-    # Leading shingles that more than one class has, with their leader.
-    rows = heads.select(F.explode(F.slice("lead", F.lit(1), F.col("lead_n"))).alias("v"), F.col("doc_id").alias("x"), "rare", "n", "need")
-    leaders = rows.groupBy("v").agg(F.min(F.struct("rare", F.col("x").alias("id"))).alias("l"), F.count("*").alias("c")).where("c > 1").select("v", F.col("l.id").alias("leader"))
-    rows = scratch.put(rows.join(leaders, "v"), "rows")
+    scratch.drop(whole)
+
+    # Leading shingles that more than one class has, and their leaders.
+    common = scratch.put(_exchanged(heads).groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "common")
+    release(spark)
+    rows = scratch.put(_exchanged(heads, bit_filter(common)).join(common, "v"), "rows")
+    scratch.drop(common)
+    leaders = rows.groupBy("v").agg(F.min(F.struct("rare", F.col("x").alias("id"))).alias("l")).select("v", F.col("l.id").alias("leader"))
     enough = rows.groupBy("x").agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= need").select("x")
-    texts = scratch.put(docs.join(enough.withColumnRenamed("x", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    rows = rows.join(enough, "x", "left_semi")
+    rows = scratch.put(rows.join(enough, "x", "left_semi").join(leaders, "v"), "rows")
 
     # Groups: each class against the leaders it shares enough with.
     starred = rows.where("x <> leader").groupBy("x", F.col("leader").alias("y")).agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= least(need, 2)")
-    found = scratch.put(_verify(_possible(starred, heads, num, den), texts, k, num, den), "links")
+    found = _verify(_possible(starred, heads, num, den), docs, scratch, k, num, den)
     groups = components(found, scratch)
     grouped = rows.join(groups.withColumnRenamed("node", "x"), "x", "left").select("v", "x", "rare", "n", "need", F.coalesce("component", "x").alias("g"))
     grouped = scratch.put(grouped, "grouped")
+    scratch.drop(rows)
 
     # The matrix, and each query's overlap with the groups that it is not in. heavy: more rare shingles
     # than half of the most that may differ; two heavy ones need a rare shingle in common.
@@ -297,14 +347,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     most = n - 2 * F.ceil(F.lit(num) * n / F.lit(num + den))
     fits = (F.lit(den) * F.least("x_n", "y_n") >= F.lit(num) * F.greatest("x_n", "y_n")) & ((F.col("rare_shared") == 1) | (F.col("x_rare") + F.col("y_rare") <= most))
     opened = opened.where(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    more = scratch.put(_verify(_possible(opened, heads, num, den), texts, k, num, den), "links")
+    more = _verify(_possible(opened, heads, num, den), docs, scratch, k, num, den)
+    scratch.drop(heads, grouped)
 
     linked = found.union(more)
     final = components(linked, scratch)
     classes = classes.join(final.withColumnRenamed("node", "class"), "class", "left").select("digest", F.coalesce("component", "class").alias("component_id"))
     out = led.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest").join(classes, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    scratch.drop(heads, texts, rows, grouped)
     return out
 
 
