@@ -22,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from dayloom.llm.common import small_batches
 
 MARK = "▁"
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 250_000
 LONG_WORD = 256  # characters; longer words are segmented each time, not kept
 WORD = re.compile(" *[^ ]+| +")
 
@@ -40,8 +41,8 @@ def pieces_cross_marks(processor) -> bool:
 
 
 class ChunkTable(dict):
-    """Marked word -> (ids, ids as text, decoded text). A key is the word without its
-    first marker, as the library puts that one itself."""
+    """Marked word -> (ids as int32 bytes, ids as text, decoded text). A key is the word without
+    its first marker, as the library puts that one itself."""
 
     def __init__(self, processor, entries: int = TABLE_ENTRIES):
         super().__init__()
@@ -55,7 +56,7 @@ class ChunkTable(dict):
         ids = self.processor.encode(word) if word else [self.mark_id]
         # the library drops the first marker in decoding; behind another word it stays
         text = self.processor.decode(ids) if word else ""
-        value = (ids, ",".join(map(str, ids)), text)
+        value = (np.array(ids, np.int32).tobytes(), ",".join(map(str, ids)), word if text == word else text)
         if len(word) <= LONG_WORD:
             if len(self) >= self.entries:
                 self.clear()
@@ -72,11 +73,8 @@ def marked_words(text: str) -> list[str]:
     return [w[1:] for w in WORD.findall(" " + text)]
 
 
-def encode_text(table: ChunkTable, text: str) -> list[int]:
-    out: list[int] = []
-    for w in marked_words(text):
-        out += table[w][0]
-    return out
+def joined_ids(parts: list[tuple]) -> np.ndarray:
+    return np.frombuffer(b"".join([p[0] for p in parts]), np.int32)
 
 
 def decode_joined(parts: list[tuple]) -> str:
@@ -106,11 +104,12 @@ def encode_documents(df: DataFrame, model_file: str, text: str = "text", with_id
                 shas.append(hashlib.sha256(said.encode()).hexdigest())
                 texts.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
                 if with_ids:
-                    all_ids.append([i for p in parts for i in p[0]])
+                    all_ids.append(joined_ids(parts))
                     decoded.append(back)
             more = [pa.array(count, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())]
             if with_ids:
-                more += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                ends = np.concatenate([[0], np.cumsum([len(i) for i in all_ids])]).astype(np.int32)
+                more += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids) if all_ids else np.empty(0, np.int32))), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[f.name for f in schema.fields])
 
     return df.select(*[f.name for f in keep]).mapInArrow(run, schema)
