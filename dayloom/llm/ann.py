@@ -117,16 +117,20 @@ def cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (v * q).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
 
 
-def best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Positions of queries, positions of their best k rows, and scores, for a few queries at a time."""
+def best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int, allowed: np.ndarray | None = None, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions of queries, positions of their best k rows, and scores, for a few queries at a
+    time. ``allowed``: queries x groups, whether a query looks at the rows of a group."""
     _, once = np.unique(v_ids, return_index=True)  # also sorts by id
     v, v_ids = v[once], v_ids[once]
+    group = None if group is None else group[once]
     units, q_units = _units(v), _units(q)
     for at in range(0, len(q), STEP):
         rough = q_units[at : at + STEP] @ units.T
         own = np.minimum(np.searchsorted(v_ids, q_ids[at : at + STEP]), len(v_ids) - 1)
         same = np.flatnonzero(v_ids[own] == q_ids[at : at + STEP])
         rough[same, own[same]] = -np.inf
+        if allowed is not None:
+            rough[~allowed[at : at + STEP][:, group]] = -np.inf
         least = np.partition(rough, -k, axis=1)[:, -k] - 1e-9 if len(v) > k else np.full(len(rough), -2.0)
         i, j = np.nonzero(rough >= np.maximum(least, -2.0)[:, None])
         exact = np.concatenate([cosine(q[at + i[x : x + PAIRS]], v[j[x : x + PAIRS]]) for x in range(0, len(i), PAIRS)] or [np.empty(0)])
@@ -190,37 +194,51 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
     if report is not None:
         report |= {"leaves": len(tree.leaves), "visits": visits, "calibrated": float((ranks < visits).mean())}
 
+    # Leaves are packed into bins of bounded size, in the tree's order; a larger leaf is a bin of its
+    # own, cut into blocks, as are the queries of a bin. At most MOST_LEAVES counts reach the driver.
+    rows_of = {r.leaf: r.n for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    bin_of, sizes = np.zeros(len(tree.leaves), np.int32), [0]
+    for i in range(len(tree.leaves)):
+        if sizes[-1] and sizes[-1] + rows_of.get(i, 0) > VECTOR_BLOCK:
+            sizes.append(0)
+        bin_of[i] = len(sizes) - 1
+        sizes[-1] += rows_of.get(i, 0)
+
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value.visits(u, visits) for u in _units(_matrix(b.column(1), width))] if b.num_rows else []
-            for at in range(0, len(found), 256):
-                part = found[at : at + 256]
-                take = np.repeat(np.arange(at, at + len(part)), [len(f) for f in part])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), pa.array(np.concatenate(part), pa.int32())], names=["query_id", "leaf"])
-
-    # Blocks: by leaf, how many of its rows and how many of the queries that visit it (at most MOST_LEAVES rows each).
-    visiting = queries.mapInArrow(walk, "query_id long, leaf int")
-    rows_of = {r.leaf: r.n for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    queries_of = {r.leaf: r.n for r in visiting.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    blocks = [max(1, -(-rows_of.get(i, 0) // VECTOR_BLOCK)) for i in range(len(tree.leaves))]
-    q_blocks = [max(1, -(-queries_of.get(i, 0) // QUERY_BLOCK)) for i in range(len(tree.leaves))]
-    table = lambda values: F.get(F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>"), F.col("leaf"))
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                take, bins, leaves = [], [], []
+                for i, u in enumerate(_units(_matrix(part.column(1), width))):
+                    found = np.array(shared.value.visits(u, visits))
+                    for j in np.unique(bin_of[found]):
+                        take.append(i)
+                        bins.append(int(j))
+                        leaves.append(found[bin_of[found] == j].tolist())
+                take = pa.array(take, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(bins, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "q", "bin", "leaves"])
+
+    visiting = queries.mapInArrow(walk, "query_id long, q array<double>, bin int, leaves array<int>")
+    queries_of = {r.bin: r.n for r in visiting.groupBy("bin").agg(F.count("*").alias("n")).collect()}
+    blocks = [max(1, -(-n // VECTOR_BLOCK)) for n in sizes]
+    q_blocks = [max(1, -(-queries_of.get(i, 0) // QUERY_BLOCK)) for i in range(len(sizes))]
+    table = lambda values, at: F.get(F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>"), F.col(at))
     every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
     mine = lambda column, count: F.pmod(F.xxhash64(column, F.lit(3)), count).cast("int")
-    left = visiting.join(queries, "query_id").where(table([rows_of.get(i, 0) for i in range(len(blocks))]) > 0)
-    left = left.withColumn("b", every(table(blocks))).withColumn("c", mine("query_id", table(q_blocks))).select("leaf", "b", "c", "query_id", "q")
-    right = index.where(table([queries_of.get(i, 0) for i in range(len(blocks))]) > 0)
-    right = right.withColumn("b", mine("vec_id", table(blocks))).withColumn("c", every(table(q_blocks))).select("leaf", "b", "c", "vec_id", "v")
+    left = visiting.withColumn("b", every(table(blocks, "bin"))).withColumn("c", mine("query_id", table(q_blocks, "bin"))).select("bin", "b", "c", "query_id", "q", "leaves")
+    right = index.withColumn("bin", table(bin_of.tolist(), "leaf")).withColumn("b", mine("vec_id", table(blocks, "bin"))).withColumn("c", every(table(q_blocks, "bin"))).select("bin", "b", "c", "vec_id", "v", "leaf")
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if a.num_rows and b.num_rows:
             qi, vi = np.asarray(a["query_id"], np.int64), np.asarray(b["vec_id"], np.int64)
-            out = [(qi[i], vi[f], s) for i, f, s in best(_matrix(a["q"], width), qi, _matrix(b["v"], width), vi, k)]
+            leaves, group = np.unique(np.asarray(b["leaf"]), return_inverse=True)
+            allowed = np.stack([np.isin(leaves, x) for x in a["leaves"].to_pylist()])
+            out = [(qi[i], vi[f], s) for i, f, s in best(_matrix(a["q"], width), qi, _matrix(b["v"], width), vi, k, allowed, group)]
         columns = [np.concatenate([o[j] for o in out]) if out else np.empty(0, t) for j, t in enumerate((np.int64, np.int64, np.float64))]
         return pa.table([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
-    found = left.groupBy("leaf", "b", "c").cogroup(right.groupBy("leaf", "b", "c")).applyInArrow(search, "query_id long, vec_id long, score double")
+    found = left.groupBy("bin", "b", "c").cogroup(right.groupBy("bin", "b", "c")).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
