@@ -32,12 +32,12 @@ from dayloom.llm.common import small_batches
 
 # Fixed values of the formats (RFC 3533, OggPCM draft)
 CAPTURE = b"OggS"
-PAGE_HEADER = struct.Struct("<4sBBqIIIB")
+PAGE_HEADER, PAGE_HEADER_SIZE = "<4sBBqIIIB", 27
 CONTINUED, FIRST, LAST = 1, 2, 4
-PCM_HEADER = struct.Struct(">8sHHIIBBHI")
+PCM_HEADER = ">8sHHIIBBHI"
 PCM_MAGIC, PCM_U8 = b"PCM     ", 1
-MARKS_HEADER = struct.Struct("<8sI")
-MARK = struct.Struct("<qI")
+MARKS_HEADER = "<8sI"
+MARK = "<qI"
 MARKS_MAGIC = b"dlmarks\0"
 
 RATE = 8000
@@ -65,7 +65,7 @@ def write_pages(serial: int, packets: list[tuple[bytes, int]]) -> list[tuple[int
     def flush(last: bool, next_continued: bool) -> None:
         nonlocal lacing, body, granule, continued, at
         flags = CONTINUED * continued | FIRST * (not pages) | LAST * last
-        head = PAGE_HEADER.pack(CAPTURE, 0, flags, granule, serial, len(pages), 0, len(lacing)) + bytes(lacing)
+        head = struct.pack(PAGE_HEADER, CAPTURE, 0, flags, granule, serial, len(pages), 0, len(lacing)) + bytes(lacing)
         raw = head + b"".join(body)
         raw = raw[:22] + struct.pack("<I", page_checksum(raw)) + raw[26:]
         at = max(at, granule)
@@ -90,10 +90,10 @@ def write_pages(serial: int, packets: list[tuple[bytes, int]]) -> list[tuple[int
 
 def write_ogg(payload: bytes, rate: int = RATE) -> bytes:
     """The payload as samples of one stream, with the stream of marks, interleaved by granule."""
-    audio = [(PCM_HEADER.pack(PCM_MAGIC, 0, 0, PCM_U8, rate, 8, 1, PACKET_SAMPLES, 0), 0)]
+    audio = [(struct.pack(PCM_HEADER, PCM_MAGIC, 0, 0, PCM_U8, rate, 8, 1, PACKET_SAMPLES, 0), 0)]
     audio += [(payload[i : i + PACKET_SAMPLES], min(i + PACKET_SAMPLES, len(payload))) for i in range(0, len(payload), PACKET_SAMPLES)]
-    marks = [(MARKS_HEADER.pack(MARKS_MAGIC, rate), 0)]
-    marks += [(MARK.pack(i, zlib.crc32(payload[i : i + MARK_SAMPLES])), min(i + MARK_SAMPLES, len(payload))) for i in range(0, len(payload), MARK_SAMPLES)]
+    marks = [(struct.pack(MARKS_HEADER, MARKS_MAGIC, rate), 0)]
+    marks += [(struct.pack(MARK, i, zlib.crc32(payload[i : i + MARK_SAMPLES])), min(i + MARK_SAMPLES, len(payload))) for i in range(0, len(payload), MARK_SAMPLES)]
     first, second = write_pages(AUDIO_SERIAL, audio), write_pages(MARKS_SERIAL, marks)
     rest = sorted([(g, 0, k, p) for k, (g, p) in enumerate(first[1:])] + [(g, 1, k, p) for k, (g, p) in enumerate(second[1:])])
     return first[0][1] + second[0][1] + b"".join([p[3] for p in rest])
@@ -114,10 +114,10 @@ def read_ogg(media: bytes | None) -> tuple[dict[int, LogicalStream], int]:
     """Logical streams by serial number, and the number of damaged pages."""
     streams: dict[int, LogicalStream] = {}
     damaged, at, data = 0, 0, media or b""
-    while (at := data.find(CAPTURE, at)) >= 0 and at + PAGE_HEADER.size <= len(data):
-        _, version, flags, granule, serial, number, checksum, n = PAGE_HEADER.unpack_from(data, at)
-        start = at + PAGE_HEADER.size + n
-        lacing = data[at + PAGE_HEADER.size : start]
+    while (at := data.find(CAPTURE, at)) >= 0 and at + PAGE_HEADER_SIZE <= len(data):
+        _, version, flags, granule, serial, number, checksum, n = struct.unpack_from(PAGE_HEADER, data, at)
+        start = at + PAGE_HEADER_SIZE + n
+        lacing = data[at + PAGE_HEADER_SIZE : start]
         end = start + sum(lacing)
         if version or len(lacing) < n or end > len(data) or page_checksum(data[at : at + 22] + b"\0\0\0\0" + data[at + 26 : end]) != checksum:
             damaged += 1
@@ -167,11 +167,11 @@ def read_samples(media: bytes | None) -> tuple[bytes, int, list[float], bool]:
     marks = next((s for s in streams.values() if s.packets and s.packets[0].startswith(MARKS_MAGIC)), None)
     if audio is None:
         return b"", 0, [], False
-    rate = PCM_HEADER.unpack(audio.packets[0])[4]
+    rate = struct.unpack(PCM_HEADER, audio.packets[0])[4]
     samples = b"".join(audio.packets[1:])
     sound = not damaged and not audio.lost and audio.complete and marks is not None and audio.granules[-1] == len(samples)
     for p in marks.packets[1:] if marks else ():
-        i, crc = MARK.unpack(p)
+        i, crc = struct.unpack(MARK, p)
         sound = sound and zlib.crc32(samples[i : i + MARK_SAMPLES]) == crc
     return samples, rate, [e / rate for e in packet_ends(audio)[1:]], sound
 
