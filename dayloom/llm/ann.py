@@ -164,12 +164,13 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
     if not sample.num_rows:
         sample = rows.limit(SAMPLE).toArrow()
     tree = fit_tree(_units(_matrix(sample["v"], width)), max(1, min(MOST_LEAVES, n // LEAF_ROWS)))
-    shared = spark.sparkContext.broadcast(tree)
+    shared = spark.sparkContext.broadcast((tree.inner, tree.leaves, tree.parent))  # plain arrays: at most MOST_LEAVES centroids
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Tree(*shared.value)
         for b in batches:
             units = _units(_matrix(b.column(1), width))
-            leaf = np.concatenate([shared.value.assign(units[i : i + 1024]) for i in range(0, len(units), 1024)]) if len(units) else np.empty(0, np.int32)
+            leaf = np.concatenate([own.assign(units[i : i + 1024]) for i in range(0, len(units), 1024)]) if len(units) else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int32())], names=["vec_id", "v", "leaf"])
 
     index = Scratch(spark).put(rows.mapInArrow(place, "vec_id long, v array<double>, leaf int"), "leaves")
@@ -205,12 +206,13 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
         sizes[-1] += rows_of.get(i, 0)
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Tree(*shared.value)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 take, bins, leaves = [], [], []
                 for i, u in enumerate(_units(_matrix(part.column(1), width))):
-                    found = np.array(shared.value.visits(u, visits))
+                    found = np.array(own.visits(u, visits))
                     for j in np.unique(bin_of[found]):
                         take.append(i)
                         bins.append(int(j))
