@@ -294,6 +294,12 @@ def _possible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFra
     return out.select("x", "y", "x_n", "y_n", "x_lead", "y_lead").mapInArrow(run, "x long, y long")
 
 
+def heavy_for(num: int, den: int):
+    """More rare shingles than a class may have that links by frequent ones only: of its n, at least
+    num/den * n must be shared."""
+    return F.lit(den) * (F.col("n") - F.col("rare")) < F.lit(num) * F.col("n")
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles (of the set) and component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
@@ -323,7 +329,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     rows = scratch.put(rows.join(enough, "x", "left_semi").join(leaders, "v"), "rows")
 
     # Groups: each class against the leaders it shares enough with.
-    starred = rows.where("x <> leader").groupBy("x", F.col("leader").alias("y")).agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= least(need, 2)")
+    starred = rows.where("x <> leader").groupBy("x", F.col("leader").alias("y")).agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= need")
     found = _verify(_possible(starred, heads, num, den), docs, scratch, k, num, den)
     groups = components(found, scratch)
     grouped = rows.join(groups.withColumnRenamed("node", "x"), "x", "left").select("v", "x", "rare", "n", "need", F.coalesce("component", "x").alias("g"))
@@ -338,15 +344,21 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     open_rows = grouped.join(several, "v").withColumn("heavy", heavy)
     matrix = open_rows.groupBy("v", F.col("g").alias("to")).agg(F.min(F.col("heavy").cast("int")).alias("all_heavy"))
     bounded = open_rows.join(matrix, "v").where((F.col("g") != F.col("to")) & ~(hot & F.col("heavy") & (F.col("all_heavy") == 1)))
-    qualified = bounded.groupBy("x", "to").agg(F.count("*").alias("c"), F.first("need").alias("need"), F.max((~hot).cast("int")).alias("rare_shared"), F.first("rare").alias("x_rare"), F.first("n").alias("x_n"), F.first("heavy").alias("heavy"))
+    qualified = bounded.groupBy("x", "to").agg(F.count("*").alias("c"), F.first("need").alias("need"), F.max((~hot).cast("int")).alias("rare_shared"), F.max(hot.cast("int")).alias("hot_shared"), F.first("rare").alias("x_rare"), F.first("n").alias("x_n"), F.first("heavy").alias("heavy"))
     # a heavy query's frequent shingles were not all counted: there a shared rare one is enough
     qualified = qualified.where((F.col("c") >= F.col("need")) | (F.col("heavy") & (F.col("rare_shared") == 1)))
-    members = grouped.groupBy("x").agg(F.first("g").alias("to"), F.first("rare").alias("y_rare"), F.first("n").alias("y_n")).withColumnRenamed("x", "y")
-    opened = qualified.join(members, "to")
-    n = F.col("x_n") + F.col("y_n")
-    most = n - 2 * F.ceil(F.lit(num) * n / F.lit(num + den))
-    fits = (F.lit(den) * F.least("x_n", "y_n") >= F.lit(num) * F.greatest("x_n", "y_n")) & ((F.col("rare_shared") == 1) | (F.col("x_rare") + F.col("y_rare") <= most))
-    opened = opened.where(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    # Opening a group: pairs that share a rare leading shingle, and pairs that share frequent ones only;
+    # the latter have nothing in common beyond each one's frequent shingles, which must be enough.
+    qualified = scratch.put(qualified, "qualified")
+    rare_rows = open_rows.where(~hot)
+    asked = rare_rows.select("v", "x", "g").join(rare_rows.select("v", F.col("g").alias("to")).distinct(), "v").where("g <> to").join(qualified.where("rare_shared = 1").select("x", "to"), ["x", "to"], "left_semi")
+    by_rare = asked.select("v", "x", "to").join(rare_rows.select("v", F.col("g").alias("to"), F.col("x").alias("y")), ["v", "to"]).select("x", "y")
+    light = (~heavy_for(num, den)) & (F.col("v") >= F.lit(int(LAST)))
+    members = grouped.where(light).groupBy("x").agg(F.first("g").alias("to"), F.first("rare").alias("y_rare"), F.first("n").alias("y_n")).withColumnRenamed("x", "y")
+    least_common = F.ceil(F.lit(num) * (F.col("x_n") + F.col("y_n")) / F.lit(num + den))
+    enough_left = F.least(F.col("x_n") - F.col("x_rare"), F.col("y_n") - F.col("y_rare")) >= least_common
+    by_frequent = qualified.where("hot_shared = 1").join(members, "to").where(enough_left).select("x", "y")
+    opened = by_rare.union(by_frequent).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     more = _verify(_possible(opened, heads, num, den), docs, scratch, k, num, den)
     scratch.drop(heads, grouped)
 
