@@ -21,6 +21,8 @@ cloudpickle.register_pickle_by_value(sys.modules["dayloom.llm"])
 
 #: Rows of one Arrow batch that hold texts. Texts of 100 KB then make a batch of 25 MB.
 TEXT_ROWS = 256
+#: And of those that Spark sends to Python workers.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,6 +81,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
+        if int(spark.conf.get(BATCH_CONF)) > BATCH_ROWS:  # 10,000 rows of texts or lists fill a worker's memory
+            spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
     def put(self, df: DataFrame, tag: str) -> DataFrame:
         path = fresh_path(self.spark, tag)
