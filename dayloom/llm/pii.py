@@ -2,8 +2,10 @@
 
 DataFrame and SQL functions only. Base entities (email, ip, card, phone) are found by regular
 expressions whose loops are possessive, so that no text makes them backtrack or recurse. They
-are the seeds. Every token with a digit in the corpus is an instance; the words in front of it
-together with its character classes form its lexical pattern. On the graph of patterns and
+are the seeds. Every token with a digit or an @ in the corpus is an instance; the words in front
+of it together with its character classes form its lexical pattern. (No seed has neither, so a
+token without them, such as a plain name, never stands in a pattern that a seed supports.) Tokens
+that are long, or that quotes and brackets cut, are split at punctuation. On the graph of patterns and
 instances, in turn, a pattern's confidence is the mean score of its instances (damped for few),
 and an instance's score is 1 if it is a seed, else how likely one of its patterns is right
 (noisy or). After ROUNDS rounds, instances of patterns that are confident and that enough
@@ -37,9 +39,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "identifier": "[ID]"}
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+# A piece of a token: characters of identifiers with single dots between them, a digit or @ among them.
+PIECE = r"(?<![A-Za-z0-9_%+@#~-])(?<![A-Za-z0-9_%+@#~-]\.)(?:[A-Za-z_%+#~-]++\.?)*+[0-9@](?:\.?[A-Za-z0-9_%+@#~-])*+"
 VALUE = r"^([^=:]*+[=:]++)?([\"'(\[<]*+)([^\"'()\[\]<>]+?)([\"')\]>,.;:!?]*)$"
-LONGEST_TOKEN = 120
+LONGEST_TOKEN = 120  # longer ones are split into pieces
+LEAST_VALUE = 4  # shorter tokens identify nobody
 ROUNDS = 3
 LEAST_SEEDS = 3
 CONFIDENT = 0.8
@@ -97,20 +102,29 @@ def _kind_filter(kind: str):
 
 
 def _token_spans(text: Column) -> Column:
-    has = F.rlike(text, F.lit("[0-9]"))
+    has = F.rlike(text, F.lit("[0-9@]"))
     found = F.when(has, F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    return _places(text, TOKEN, found)
+
+    def pieces(t: Column) -> Column:
+        """Of a token that is no single value; the words in front of a piece may be in the token."""
+        inner = _places(t["m"], PIECE, F.regexp_extract_all(t["m"], F.lit(PIECE), F.lit(0)))
+        said = lambda s: F.regexp_replace(s["before"], r"[^\p{L}\p{N}]+", " ")
+        before = lambda s: F.when(F.trim(said(s)) != "", said(s)).when(s["start"] == F.length(s["before"]), t["before"]).otherwise(F.lit(""))
+        moved = lambda s: F.struct((t["start"] + s["start"]).alias("start"), (t["start"] + s["end"]).alias("end"), s["m"].alias("m"), before(s).alias("before"))
+        return F.transform(inner, moved)
+
+    whole = lambda t: (F.length(t["m"]) <= LONGEST_TOKEN) & F.rlike(t["m"], F.lit(VALUE))
+    return F.flatten(F.transform(_places(text, TOKEN, found), lambda t: F.when(whole(t), F.array(t)).otherwise(pieces(t))))
 
 
 def prepare(df: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, key (of the row's text), base spans by kind, and tokens with a digit. One pass."""
+    """doc_id, key (of the row's text), base spans by kind, and tokens with a digit or @. One pass."""
     rows = df.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text", F.length("text")))
     found = {f"__{k}": F.when(_holds(k, F.col("text")), F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0))).otherwise(F.array().cast("array<string>")) for k in KINDS}
     rows = rows.withColumns(found)
     spans = {k: F.transform(F.filter(_places(F.col("text"), PATTERNS[k], F.col(f"__{k}")), _kind_filter(k)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS}
-    tokens = F.filter(_token_spans(F.col("text")), lambda s: F.length(s["m"]) <= LONGEST_TOKEN)
-    return rows.select("doc_id", "key", *[c.alias(k) for k, c in spans.items()], tokens.alias("tokens"))
+    return rows.select("doc_id", "key", *[c.alias(k) for k, c in spans.items()], _token_spans(F.col("text")).alias("tokens"))
 
 
 def instances(prepared: DataFrame) -> DataFrame:
@@ -119,7 +133,7 @@ def instances(prepared: DataFrame) -> DataFrame:
     rows = prepared.where(F.size("tokens") > 0).select("doc_id", "key", base.alias("base"), F.explode("tokens").alias("t"))
     part = lambda i: F.regexp_extract(F.col("t.m"), VALUE, i)
     rows = rows.select("doc_id", "key", "base", "t", part(1).alias("inner"), F.length(F.concat(part(1), part(2))).alias("skip"), part(3).alias("value"))
-    rows = rows.where((F.length("value") >= 4) & F.rlike("value", F.lit("[0-9]")))
+    rows = rows.where((F.length("value") >= LEAST_VALUE) & F.rlike("value", F.lit("[0-9@]")))
     rows = rows.withColumn("start", F.col("t.start") + F.col("skip")).withColumn("end", F.col("start") + F.length("value"))
     words = F.split(F.trim(F.lower("t.before")), r"\s+")
     last, second = F.element_at(words, -1), F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit(""))

@@ -75,3 +75,22 @@ def test_redact(spark):
     out = {r.doc_id: r for r in pii.redact(df).collect()}
     assert out[1].text == "[EMAIL], [IP] and 300.1.1.1 [PHONE] x [CARD] é" and out[1].email == "k"
     assert out[2].text is None and out[3].text == "" and out[None].text == "[EMAIL]"
+
+
+def names(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choices("abcdefgh", k=7)) for _ in range(n)]
+
+
+def test_seeds_and_identifiers_without_digits(spark):
+    """E-mails without a digit support their context; identifiers without one are found there, also in long tokens."""
+    long = '{"' + "note\":\"" + "lorem/ipsum," * 20 + '","mail":"%s","end":"x"}'
+    docs = [(i, f"{a} {b} write to {a}.{b}@mail.example.com {b}") for i, (a, b) in enumerate(zip(names(20, 1), names(20, 2), strict=True))]
+    docs += [(50, "so write to jane@localhost today"), (51, "so write to @somehandle today"), (52, "so look at @somewhere today"), (53, "write to them today")]
+    docs += [(100 + i, long % f"{a}@mail.example.com") for i, a in enumerate(names(20, 3))] + [(150, long % "jane@localhost"), (151, '{"a":"b","mail":"joan@localhost"}')]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r.doc_id: r.spans for r in pii.find_private(df).collect()}
+    for i, value in ((50, "jane@localhost"), (51, "@somehandle"), (150, "jane@localhost"), (151, "joan@localhost")):
+        at = dict(docs)[i].index(value)
+        assert out[i] == f"identifier:{at}:{at + len(value)}", i
+    assert out[52] == out[53] == "" and all(out[i].startswith("email:") and "," not in out[i] for i in (*range(20), *range(100, 120)))
