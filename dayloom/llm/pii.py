@@ -117,13 +117,17 @@ def _token_spans(text: Column) -> Column:
     return F.flatten(F.transform(_places(text, TOKEN, found), lambda t: F.when(whole(t), F.array(t)).otherwise(pieces(t))))
 
 
+def base_spans(text: Column) -> dict[str, Column]:
+    """Spans (start, end) of the valid base matches by kind."""
+    found = {k: F.when(_holds(k, text), F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).otherwise(F.array().cast("array<string>")) for k in KINDS}
+    return {k: F.transform(F.filter(_places(text, PATTERNS[k], found[k]), _kind_filter(k)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS}
+
+
 def prepare(df: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, key (of the row's text), base spans by kind, and tokens with a digit or @. One pass."""
     rows = df.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text", F.length("text")))
-    found = {f"__{k}": F.when(_holds(k, F.col("text")), F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0))).otherwise(F.array().cast("array<string>")) for k in KINDS}
-    rows = rows.withColumns(found)
-    spans = {k: F.transform(F.filter(_places(F.col("text"), PATTERNS[k], F.col(f"__{k}")), _kind_filter(k)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS}
+    spans = base_spans(F.col("text"))
     return rows.select("doc_id", "key", *[c.alias(k) for k, c in spans.items()], _token_spans(F.col("text")).alias("tokens"))
 
 
@@ -175,18 +179,23 @@ def find_private(docs: DataFrame, text: str = "text") -> DataFrame:
     added = discovered(found).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "added").dropDuplicates(["d", "k"])
     base = _ordered()
     rows = prepared.drop("tokens").join(added, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
-    more = F.transform(F.coalesce("added", F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")), lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), s["end"].alias("end")))
+    more = _identifiers("added")
     rows = rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.size(more).cast("long").alias("n_identifier"), base.alias("base"), F.array_sort(F.concat(base, more)).alias("all"))
     return rows.select("doc_id", *[f"n_{k}" for k in KINDS], "n_identifier", F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("all").alias("spans"))
 
 
-def _numbered(kind: str) -> Column:
+def _identifiers(added: str) -> Column:
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+    return F.transform(F.coalesce(added, none), lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), s["end"].alias("end")))
+
+
+def _numbered(kind: str, spans: Column) -> Column:
     i = KINDS.index(kind)
-    return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")))
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")))
 
 
 def _ordered() -> Column:
-    return F.array_sort(F.concat(*[_numbered(k) for k in KINDS]))
+    return F.array_sort(F.concat(*[_numbered(k, F.col(k)) for k in KINDS]))
 
 
 def _joined(spans: str) -> Column:
@@ -194,29 +203,39 @@ def _joined(spans: str) -> Column:
     return F.array_join(F.transform(F.col(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _rewritten(text: Column, kind: str) -> Column:
-    """The text with the valid matches of a kind replaced by its tag; linear in the text."""
-    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    parts = F.split(text, PATTERNS[kind], -1)
-    tags = F.concat(F.transform(found, lambda m: F.when(_valid(kind, m), TAGS[kind]).otherwise(m)), F.array(F.lit("")))
-    return F.when(_holds(kind, text), F.array_join(F.zip_with(parts, tags, lambda p, t: F.concat(p, t)), "")).otherwise(text)
+def _rewritten(text: Column, spans: Column) -> Column:
+    """The text with ``spans`` (start, kind, end; sorted) replaced by tags. Overlapping ones give way
+    to one tag, that of the longest among those that start first; all else stays as it is."""
+    tags = F.array(*[F.lit(TAGS[k]) for k in (*KINDS, "identifier")])
+    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def add(state: Column, s: Column) -> Column:
+        more = F.array(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.get(tags, s["kind"]))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], F.concat(state["out"], more)).otherwise(state["out"]).alias("out"))
+
+    def joined(state: Column) -> Column:
+        return F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, F.aggregate(spans, first, add, joined)).otherwise(text)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with private spans replaced by tags; other columns as they were."""
+    """The documents with private spans, those of ``find_private``, replaced by tags; other columns as they were."""
     scratch = Scratch(docs.sparkSession)
     prepared = scratch.put(prepare(docs, text), "private")
     found = scratch.put(instances(prepared), "instances")
     scratch.drop(prepared)
-    added = scratch.put(discovered(found).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), F.array_distinct(F.transform("added", lambda s: s["value"])).alias("__values")).dropDuplicates(["__d", "__k"]), "added")
+    added = scratch.put(discovered(found).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), F.col("added").alias("__added")).dropDuplicates(["__d", "__k"]), "added")
     scratch.drop(found)
-    rows = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")), F.length(F.coalesce(F.col(text).cast("string"), F.lit("")))))
+    said = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.withColumn("__key", F.xxhash64(said, F.length(said)))
     rows = rows.join(added, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
-    new = F.when(F.col("__values").isNotNull(), F.aggregate("__values", F.col(text), lambda t, v: F.replace(t, v, F.lit(TAGS["identifier"])))).otherwise(F.col(text))
-    rows = rows.withColumn(text, new)
-    for kind in ("email", "phone", "ip", "card"):
-        rows = rows.withColumn(text, _rewritten(F.col(text), kind))
-    return rows.select(*docs.columns)
+    base = base_spans(F.col(text).cast("string"))
+    spans = F.concat(*[_numbered(k, base[k]) for k in KINDS], _identifiers("__added"))
+    # of those that start at one place, the longest first
+    spans = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    rows = rows.withColumn("__spans", F.when(F.col(text).isNotNull(), spans))
+    return rows.withColumn(text, _rewritten(F.col(text), F.col("__spans"))).select(*docs.columns)
 
 
 def op3_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

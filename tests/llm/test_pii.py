@@ -94,3 +94,16 @@ def test_seeds_and_identifiers_without_digits(spark):
         at = dict(docs)[i].index(value)
         assert out[i] == f"identifier:{at}:{at + len(value)}", i
     assert out[52] == out[53] == "" and all(out[i].startswith("email:") and "," not in out[i] for i in (*range(20), *range(100, 120)))
+
+
+def test_redact_rewrites_spans_only(spark):
+    docs = [(i, f"{w} reach me at {w}@mail.example.com") for i, w in enumerate(names(20, 4))]
+    docs += [(30, "so reach me at A123@x and see BA123@xyz, 9A123@x; A123@x stays"), (31, "reach me at 4567@x or j4567@x.com"), (32, "reach me at A1234@x now reach me at A123@x")]
+    docs += [(33, "no private text 12 A123@x"), (34, "mail a@1.2.3.4 then +1 (459) 555-7415 é😀 1.2.3.4.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert out[30] == "so reach me at [ID] and see BA123@xyz, 9A123@x; A123@x stays"
+    assert out[31] == "reach me at [ID] or [EMAIL]" and out[32] == "reach me at [ID] now reach me at [ID]"
+    assert out[33] == docs[23][1] and out[34] == "mail [EMAIL] then [PHONE] é😀 [IP]."
+    for r in pii.find_private(df).collect():
+        assert out[r.doc_id].count("[") == len({s.split(":")[1] for s in r.spans.split(",") if s}) - (r.doc_id == 34)
