@@ -4,20 +4,25 @@ Four small transducers run over the tokens of a clause and are composed into one
 
 * insults: a trie of whole words and word beginnings learned from the labelled table, each
   accepting path weighted by its log odds of a toxic document;
-* targets and threats (second person, verbs of harm): raise or lower the clause's weight;
-* negation and reported speech: states that an insult is read in.
+* targets and threats (persons, verbs of harm): together, in either order, they are an accepting
+  path of their own, without any insult; a target also raises or lowers an insult's weight,
+  whether it is read before or after it, and a threat that of an insult behind it;
+* negation and reported speech: states that an insult or threat is read in, so only words in
+  front of it count.
 
 The context transducers' arc weights are learned too: how much more, or less, often a
 clause with an insult is in a toxic document when the context state is on. Where the labels
-show no difference the arc weighs nothing, so a chance "no" does not excuse an insult.
+show no difference, or no clean text has an insult to compare with, the arc weighs nothing, so
+a chance "no" does not excuse an insult. The weight of threat and target is the log odds of the
+texts that have them and no insult, drawn to the prior MENACE where there are few.
 A document scores by its heaviest clause.
 
-An Aho-Corasick automaton finds the clauses that hold an insult at all; only those are run
-through the grammar. Row-wise, no shuffle of texts. Training reads a bounded sample of
+An Aho-Corasick automaton finds the clauses that hold an insult or a threat at all; only those
+are run through the grammar. Row-wise, no shuffle of texts. Training reads a bounded sample of
 labelled rows (``SAMPLE`` expected, chosen by a hash of doc_id), which is small enough to
 broadcast by that bound.
 
-Edge cases: null text is empty text; a text without insults gets the base score. Labels that
+Edge cases: null text is empty text; a text without insults and threats gets the base score. Labels that
 are null or disagree are left out. Without toxic labels every score is the base score 0.
 Equal texts get equal scores; an empty table gives an empty table; extra columns pass through
 unless they clash with the result's.
@@ -47,6 +52,7 @@ LEAST_ODDS = 1.9  # log odds of an insult arc, with half a context added to eith
 SEEN_CLEAN_ODDS = 4.0  # and of an arc that clean texts have too
 VARIED = 0.35  # least share of different contexts among the texts of an arc
 CANDIDATES = 50_000  # arcs of toxic texts that are counted in the others, the most frequent first
+MENACE = 1.0  # weight of a threat to a target that the labels say nothing about
 ARCS = 20_000  # an upper bound of the lexicon: those with the greatest weights stay
 
 # Context word lists of the grammar, in English, French, German and Spanish
@@ -56,6 +62,8 @@ TARGET = "you your he she they them him her u vous tu ton votre ils elle du dich
 THREAT = "kill hurt beat destroy die punch burn tuer frapper mourir töten schlagen sterben matar golpear morir".split()
 CONTEXT = {w: k for k, words in enumerate((NEGATION, REPORTED, TARGET, THREAT)) for w in words}
 STATES = ("negated", "reported", "targeted", "threat")
+TARGETED, THREATENING = 2, 3
+THREATS = frozenset(w for w, k in CONTEXT.items() if k == THREATENING)
 
 TOKEN = re.compile(r"\w+(?:['’]\w+)?")
 BOUND = re.compile(r"[.!?;:\n\r|]")
@@ -79,14 +87,17 @@ class Grammar:
     insults: dict[str, float] = field(default_factory=dict)
     context: list[float] = field(default_factory=lambda: [0.0] * len(STATES))
     base: float = -6.0
+    menace: float | None = MENACE  # of threat and target; None: the path is closed
 
     def automaton(self):
         import ahocorasick
 
         a = ahocorasick.Automaton()
+        for w in sorted(THREATS) if self.menace is not None else ():
+            a.add_word(w, w + "$")
         for arc in self.insults:
             a.add_word(arc.removesuffix("$"), arc)
-        if self.insults:
+        if len(a):
             a.make_automaton()
         return a
 
@@ -95,38 +106,63 @@ class Grammar:
         found = [x for x in (self.insults.get(word + "$"), *(self.insults.get(word[:n]) for n in PREFIXES if len(word) > n)) if x is not None]
         return max(found) if found else None
 
-    def clause(self, words: list[str]) -> tuple[float, tuple[bool, ...]] | None:
-        """Composed weight and context states of a clause; None without an insult."""
-        state, best = [False] * len(STATES), None
+    def paths(self, words: list[str]) -> Iterator[tuple[float, tuple[bool, ...], bool]]:
+        """Accepting paths of a clause in token order: weight, context states, and whether it is a
+        threat to a target (else an insult)."""
+        state, insult, threat = [False] * len(STATES), None, None  # the heaviest of each so far, with its states
+
+        def weight(x: float, on: tuple[bool, ...]) -> float:
+            return x + sum(c for c, o in zip(self.context, on, strict=True) if o)
+
+        def menaced(on: tuple[bool, ...]) -> tuple[float, tuple[bool, ...], bool]:
+            return weight(self.menace, (*on[:2], False, False)), on, True
+
         for w in words:
             k = CONTEXT.get(w)
             if k is not None:
                 state[k] = True
             elif w.endswith(("n't", "n’t")):
                 state[0] = True
+            if k == TARGETED:  # behind an insult or threat: accepted with the states that it was read in
+                if insult is not None and not insult[1][k]:
+                    on = tuple(o or j == k for j, o in enumerate(insult[1]))
+                    insult = (insult[0], on)
+                    yield weight(*insult), on, False
+                if threat is not None:
+                    yield menaced(threat)
+            if k == THREATENING and self.menace is not None:
+                here = tuple(state)
+                if state[TARGETED]:
+                    yield menaced(here)
+                if threat is None or weight(0.0, (*here[:2], False, False)) > weight(0.0, (*threat[:2], False, False)):
+                    threat = here
             x = self.insult(w)
-            if x is not None and (best is None or x > best):
-                best = x
-        if best is None:
-            return None
-        return best + sum(c for c, on in zip(self.context, state, strict=True) if on), tuple(state)
+            if x is not None:
+                here = (x, tuple(state))
+                yield weight(*here), here[1], False
+                if insult is None or weight(*here) > weight(*insult):
+                    insult = here
+
+    def clause(self, words: list[str]) -> tuple[float, tuple[bool, ...]] | None:
+        """Weight and context states of the heaviest path; None without any."""
+        found = max(self.paths(words), key=lambda f: f[0], default=None)
+        return found and found[:2]
 
     def weigh(self, text: str, automaton=None) -> tuple[float, str]:
-        """Weight of the heaviest clause (the base weight if no insult) and that clause."""
+        """Weight of the heaviest clause (the base weight if no path accepts) and that clause."""
         low = text.lower()
-        if not self.insults:
+        if not self.insults and self.menace is None:
             return self.base, ""
-        best, said, until = self.base, "", -1
+        best, said, until = self.base, "", 0
         for end, arc in (automaton or self.automaton()).iter(low):
             start = end - len(arc.removesuffix("$")) + 1
             if end < until or (start and (low[start - 1].isalnum() or low[start - 1] == "_")):
                 continue
-            left = 0
-            for m in BOUND.finditer(low, max(0, start - 2000), start):
+            left = until  # the end of the last clause that was read
+            for m in BOUND.finditer(low, until, max(until, start)):
                 left = m.end()
-            left = max(left, start - 2000)
             right = BOUND.search(low, end + 1)
-            until = min(right.start() if right else len(low), start + 4000)
+            until = right.start() if right else len(low)
             found = self.clause(TOKEN.findall(low[left:until]))
             if found and found[0] > best:
                 best, said = found[0], low[left:until].strip()
@@ -175,7 +211,7 @@ def fit_grammar(sample: DataFrame) -> Grammar:
     n, ones = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not ones or ones == n:
         sample.unpersist()
-        return Grammar(base=-30.0 if not ones else 30.0)
+        return Grammar(base=-30.0 if not ones else 30.0, menace=None)
     # an arc counts once a context: the words of a text that was copied with small changes do not
     # gather weight with the copies
     often = counted(1, None).where((F.col("n") >= LEAST_DOCS) & (F.col("n") >= VARIED * F.col("docs"))).orderBy(F.desc("n"), "arc").limit(CANDIDATES).collect()
@@ -187,13 +223,15 @@ def fit_grammar(sample: DataFrame) -> Grammar:
         for b in small_batches(batches):
             out = []
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen = set()
+                seen, menaced = set(), False
                 for part in BOUND.split(t.lower()):
-                    found = grammar.clause(TOKEN.findall(part))
+                    paths = list(grammar.paths(TOKEN.findall(part)))
+                    menaced = menaced or any(f[2] and not (f[1][0] or f[1][1]) for f in paths)
+                    found = max((f for f in paths if not f[2]), key=lambda f: f[0], default=None)
                     if found:
                         seen.add(found[1])
                 states = [sum(1 << k for k, on in enumerate(s) if on) for s in seen]
-                out += [(s, y) for s in states] or [(-1, y)]
+                out += [(s, y) for s in states] or [(-2 if menaced else -1, y)]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32())], names=["state", "y"])
 
     seen = sample.mapInArrow(clauses, "state int, y int").groupBy("state").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).collect()
@@ -201,6 +239,8 @@ def fit_grammar(sample: DataFrame) -> Grammar:
     by = {r.state: (r.p, r.q) for r in seen}
     if -1 in by:
         grammar.base = min(-0.5, log((by[-1][0] + 0.5) / (by[-1][1] + 0.5)))
+    p, q = by.get(-2, (0, 0))  # texts with a plain threat to a target and no insult
+    grammar.menace = max(-6.0, min(6.0, log((p + 0.5 * exp(MENACE)) / (q + 0.5))))
     for k in range(len(STATES)):
         on, off = [[sum(v[j] for s, v in by.items() if s >= 0 and bool(s >> k & 1) == side) for j in (0, 1)] for side in (True, False)]
         if sum(on) >= 10:

@@ -49,3 +49,24 @@ def test_clauses():
     assert g.weigh("foolish unfool")[0] == -6.0
     words = "x " * 5000
     assert g.weigh(words + "fool" + " y" * 5000)[0] == 3.0
+
+
+def test_threats_and_order():
+    g = x.Grammar({"fool$": 3.0}, [-5.0, -4.0, 1.0, 0.5], -6.0)
+    assert g.weigh("Well. I will kill you! So")[0] == x.MENACE and g.weigh("Well. I will kill you! So")[1] == "i will kill you"
+    assert g.score("ich werde dich töten") >= x.THRESHOLD and x.Grammar().score("you will die") >= x.THRESHOLD
+    assert g.score("they kill time") >= x.THRESHOLD and g.weigh("kill the lights")[0] == -6.0 and g.weigh("you. kill")[0] == -6.0
+    assert g.weigh("I will not kill you")[0] == x.MENACE - 5 and g.weigh("I will kill you not")[0] == x.MENACE
+    assert g.weigh("a fool, not wise")[0] == 3.0 and g.weigh("no fool")[0] == -2.0  # only what is read before
+    assert g.weigh("fool that you are")[0] == 4.0 and g.weigh("beat a fool")[0] == 3.5 and g.weigh("skill you")[0] == -6.0
+    assert g.weigh("you " + "x " * 5000 + "fool" + " y" * 5000)[0] == 4.0  # the whole clause is read
+
+
+def test_threat_weight_is_learned(spark):
+    docs, labels = tables(spark)
+    y = [(3000 + i, f"you beat {i}") for i in range(12)]
+    more = docs.union(spark.createDataFrame([(i, t, "c") for i, t in y], docs.schema))
+    some = labels.union(spark.createDataFrame([(i, 0) for i, _ in y], labels.schema))
+    assert x.fit_grammar(x.labelled_sample(docs, labels, "toxic", 3, 1)).menace == x.MENACE  # no text has one
+    grammar = x.fit_grammar(x.labelled_sample(more, some, "toxic", 3, 1))
+    assert grammar.menace < 0 and grammar.score("you beat") < x.THRESHOLD
