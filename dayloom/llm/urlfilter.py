@@ -28,15 +28,39 @@ RULES = (
     ("block", "net/fr/"),
 )
 
-#: The small labelled URL table: url, 1 = block. Hand-written examples.
-LABELLED = [(f"{s}://{p}{h}.example.{t}/{path}", 1) for h, path in (
-    ("cheap-pills", "en/450?page=2"), ("casino-win", "en/14.html"), ("free-bets", "de/963#top"), ("spam-farm", "en/728"), ("ads-track", "en/584"),
-    ("cheap-loans", "offers/now"), ("win-casino", "bonus/7"), ("bets-online", "fr/free"), ("pills-store", "buy/cheap"), ("track-ads", "click/9"), ("spam-links", "es/3"),
-) for s, p, t in (("https", "www.", "org"), ("http", "", "net"), ("http", "m.", "com"))] + [(f"{s}://{p}{h}.example.{t}/{path}", 0) for h, path in (
-    ("ththre", "fr/825?page=2"), ("therha", "en/676"), ("tiontion", "en/853/"), ("ththin", "en/671"), ("therin", "en/770#top"), ("library", "books/12"),
-    ("weather", "de/today"), ("university", "courses/math"), ("museum", "en/visit"), ("thering", "en/328/"), ("news", "world/2024"), ("recipes", "es/soup.html"),
-    ("ththan", "en/960"), ("therti", "en/334/"), ("thertion", "es/978"),
-) for s, p, t in (("https", "blog.", "org"), ("http", "", "net"), ("http", "www.", "com"))]
+#: The small labelled URL table, written by hand from general knowledge: by category, names of hosts
+#: in several wordings. No name is taken from a table that is filtered.
+BLOCKED = {
+    "pharmacy": "cheap-meds pills-online discount-pills buy-viagra cialis-direct pharmacy-deals no-prescription-drugs diet-pills generic-meds pillshop",
+    "gambling": "casino-royal online-casino lucky-casino slots-win jackpot-city poker-bets sports-bets bet-now free-spins roulette-bonus betting-tips winbig",
+    "money": "cheap-loans payday-loans fast-cash quick-money crypto-profit earn-money-now forex-win debt-relief-deals easy-credit free-money",
+    "adult": "adult-cams adult-videos adult-dating sex-chat xxx-tube porn-free porn-videos nude-pics hot-cams escort-finder webcam-girls xxx-adult",
+    "ads": "ads-server ad-click track-pixel tracking-ads popup-ads banner-ads click-track adserve adtracker clickads ads-network",
+    "spam": "spam-links link-farm seo-links farm-links buy-followers free-gift prize-winner spam-mail mass-mailer article-spam claim-prize",
+    "fraud": "login-verify account-secure-update verify-account free-download-crack keygen-warez serial-crack cracked-games fake-watches replica-bags torrent-free",
+}
+ALLOWED = {
+    "knowledge": "library university museum encyclopedia science physics-forum math-help history openarchive dictionary wiki language-school biology astronomy",
+    "news": "news weather daily-post morning-herald gazette tribune chronicle world-report local-times radio journal press-review magazine",
+    "life": "recipes garden-tips travel-guide cooking bike-club hiking family-health parenting pets music-lessons photo-blog knitting fishing",
+    "work": "software docs-center developer-blog engineering hospital clinic city-council government insurance bank post-office railway architecture bakery",
+    "plain": "river stone-house northern anderson martin westfield thornton harrington leather mother-nature winter sunday theater children brother",
+}
+PATHS = ("en/12.html", "de/41?page=2", "fr/index", "es/9/", "articles/2024/7", "shop/item#top", "")
+
+
+def _labelled() -> list[tuple[str, int]]:
+    """Each name under three hosts; schemes, domains and paths are dealt out alike to both sides."""
+    out = []
+    for label, names in ((1, BLOCKED), (0, ALLOWED)):
+        for i, name in enumerate(" ".join(names.values()).split()):
+            for j, (scheme, sub, domain) in enumerate((("https", "www.", ".org"), ("http", "", ".net"), ("http", ("m.", "blog.")[i % 2], ".example.com"))):
+                out.append((f"{scheme}://{sub}{name}{domain}/{PATHS[(i + 2 * j) % len(PATHS)]}", label))
+    return out
+
+
+#: url, 1 = block
+LABELLED = _labelled()
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
