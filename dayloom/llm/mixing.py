@@ -11,10 +11,14 @@ steps. A step needs only the domain totals, one distributed sum of K numbers; ra
 stored but follow from the steps' K-vectors, so that the state on the driver is steps x K
 numbers whatever the corpus. No shuffle but of sums.
 
-Training reads a bounded sample of labelled rows (SAMPLE in expectation, by a hash of doc_id).
+The domains are those of all labelled rows. Training reads a sample of these (by a hash of
+doc_id): SAMPLE in expectation, but at least LEAST_ROWS of each domain, or all that it has. The
+model takes 256 KB a domain.
 
 Edge cases: null text is empty: no tokens, equal posteriors, rate 1 (or least). Labelled rows
-without a domain or of more than one are left out. Without labelled rows there is one domain.
+without a domain or of more than one are left out, as are domains whose sampled texts all are of
+other domains too or have no two bytes. Without labelled rows there is one domain. A target of a
+domain that the model has not is an error.
 Equal texts get equal rates. Empty tables give empty tables; extra columns pass through.
 """
 
@@ -32,9 +36,10 @@ from pyspark.sql import types as T
 from dayloom.llm.common import Scratch, small_batches
 
 SAMPLE = 4000
-MOST_DOMAINS = 64
+LEAST_ROWS = 200
 SEGMENT = 400
 PAIRS = 1 << 16
+CELLS = 1 << 22  # weights gathered at once
 STEPS = 60
 TOLERANCE = 1e-4
 RIDGE = 1e-3
@@ -55,7 +60,9 @@ class DomainModel:
         k = len(self.domains)
         if len(raw) < 2:
             return np.full(k, 1.0 / k)
-        z = np.add.reduceat(self.weights[_pairs(raw)], np.arange(0, len(raw) - 1, SEGMENT), axis=0)
+        pairs, block = _pairs(raw), SEGMENT * max(1, CELLS // (SEGMENT * k))
+        parts = (pairs[at : at + block] for at in range(0, len(pairs), block))
+        z = np.concatenate([np.add.reduceat(self.weights[x], np.arange(0, len(x), SEGMENT), axis=0) for x in parts])
         z = np.exp(z - z.max(axis=1, keepdims=True))
         p = z / z.sum(axis=1, keepdims=True)
         size = np.full(len(p), SEGMENT, np.float64)
@@ -66,11 +73,16 @@ class DomainModel:
 def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str, sample: int = SAMPLE) -> DomainModel:
     """``labelled``: doc_id of the rows whose ``domain`` is taken as their label."""
     ids = labelled.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    n = ids.count()
+    known = docs.select(F.col("doc_id"), F.col(domain).cast("string").alias("domain")).where(F.col("domain").isNotNull())
+    known = known.join(ids, "doc_id", "left_semi")
+    sizes = {r.domain: r.n for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    n = sum(sizes.values())
     if n > sample:
-        ids = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
-    rows = docs.join(F.broadcast(ids.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id"))  # bounded by ``sample``
-    rows = rows.where(F.col(domain).isNotNull()).select("doc_id", F.col(domain).cast("string").alias("domain"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        shares = docs.sparkSession.createDataFrame([(d, int((1 << 30) * min(1.0, max(sample / n, LEAST_ROWS / x)))) for d, x in sorted(sizes.items())], "__domain string, __share long")
+        known = known.join(F.broadcast(shares), F.col("domain") == F.col("__domain")).where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.col("__share"))
+    chosen = known.select(F.col("doc_id").alias("__id"), F.col("domain").alias("__of")).distinct()
+    rows = docs.withColumn("__d", F.col(domain).cast("string")).join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("__d") == F.col("__of")))  # bounded by ``sample`` and LEAST_ROWS
+    rows = rows.select("doc_id", F.col("__d").alias("domain"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     one = rows.groupBy("text").agg(F.min("domain").alias("domain"), F.max("domain").alias("other")).where("domain = other").select("text", "domain")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,16 +95,16 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str, sample: int =
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([d] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at])], names=["domain", "pair", "n"])
 
-    cells = one.mapInArrow(count, "domain string, pair int, n long").groupBy("domain", "pair").agg(F.sum("n").alias("n")).collect()
-    sizes: dict[str, int] = {}
-    for r in cells:
-        sizes[r.domain] = sizes.get(r.domain, 0) + r.n
-    domains = sorted(sorted(sizes, key=lambda d: (-sizes[d], d))[:MOST_DOMAINS]) or ["all"]
-    counts = np.full((PAIRS, len(domains)), 0.05)
-    for r in cells:
-        if r.domain in domains:
-            counts[r.pair, domains.index(r.domain)] += r.n
-    return DomainModel(domains, np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    cells = one.mapInArrow(count, "domain string, pair int, n long").groupBy("domain", "pair").agg(F.sum("n").alias("n")).toArrow()
+    of = cells["domain"].combine_chunks().dictionary_encode()
+    of = of.combine_chunks() if isinstance(of, pa.ChunkedArray) else of
+    found = of.dictionary.to_pylist()
+    domains = sorted(found) or ["all"]
+    counts = np.full((PAIRS, len(domains)), 0.05, np.float32)
+    place = np.array([domains.index(d) for d in found], np.int64)
+    counts[np.asarray(cells["pair"], np.int64), place[np.asarray(of.indices)] if found else 0] += np.asarray(cells["n"], np.float32)
+    counts /= counts.sum(axis=0, dtype=np.float64).astype(np.float32)
+    return DomainModel(domains, np.log(counts, out=counts))
 
 
 def memberships(docs: DataFrame, model: DomainModel, text: str = "text") -> DataFrame:
@@ -140,6 +152,9 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]
     TEMPERATURE). ``total``: wished tokens (default: as many as there are). With least >= 1 every
     document stays and the total is raised so that no domain has to shrink."""
     k = len(domains)
+    unknown = sorted(set(targets or ()) - set(domains))
+    if unknown:
+        raise ValueError(f"targets of domains that no labelled text has: {', '.join(unknown)}")
 
     def summed(function) -> np.ndarray:
         """Sum over all rows of a vector that function makes of (n, p)."""

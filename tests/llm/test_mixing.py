@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from dayloom.llm import mixing as m
 
@@ -55,3 +56,24 @@ def test_documents_stay_and_edges(spark):
     assert {(r.doc_id, r.text) for r in out} == set(have) and len(out) >= len(have)
     assert m.mix_documents(docs.limit(0), labels).collect() == []
     assert len(m.mix_documents(docs, labels.limit(0)).collect()) == len(have)
+
+
+def test_every_labelled_domain_is_learned(spark, monkeypatch):
+    """More than 64 domains, one with 3 of 600 labelled rows: none is dropped, its target is met."""
+    monkeypatch.setattr(m, "LEAST_ROWS", 4)
+    word = lambda d: f"{chr(97 + d // 26)}{chr(97 + d % 26)}{chr(122 - d // 26)}{chr(122 - d % 26)} "
+    rows = [(1000 * d + i, word(d) * (20 + i), f"d{d:02}") for d in range(70) for i in range(8)] + [(90_000 + i, "§§ µµ " * 30, "rare") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = m.fit_domains(docs, docs.select("doc_id"), "lang", sample=100)
+    assert len(model.domains) == 71 and "rare" in model.domains
+    assert model.domains[model.posterior("§§ µµ " * 30).argmax()] == "rare"
+    monkeypatch.setattr(m, "CELLS", 1)  # long texts go by blocks
+    text = "§§ µµ " * 200 + word(3) * 300
+    small = model.posterior(text)
+    monkeypatch.setattr(m, "CELLS", 1 << 22)
+    assert np.allclose(small, model.posterior(text), atol=1e-6)
+    members = m.memberships(docs.select("doc_id", "text"), model)
+    mix = m.fit_rates(members, model.domains, {d: 2.0 if d == "rare" else 1.0 for d in model.domains})
+    assert mix.targets[model.domains.index("rare")] == 2 * mix.targets[0]
+    with pytest.raises(ValueError, match="nowhere"):
+        m.fit_rates(members, model.domains, {"rare": 0.5, "nowhere": 0.5})
