@@ -6,7 +6,8 @@ every row is put into its leaf. A query walks the tree with a priority queue: th
 node that was not opened yet is opened next, whichever level it is on; leaves come out in the
 order in which they would be visited. How many leaves to visit is calibrated: for a bounded
 set of queries the true neighbours are found by brute force over all rows, and the visits
-are widened until ``TARGET`` of them lie in visited leaves (with a margin).
+are widened until ``TARGET`` of them lie in visited leaves (with a margin). A query whose leaves
+hold fewer than k other rows goes on in the same order until they do.
 
 Distribution: a leaf is cut into blocks of bounded size, as are the queries that visit it, so
 a leaf that holds a third of all rows is worked on by many tasks; each block pair returns its
@@ -60,18 +61,20 @@ class Tree:
         near[self.parent[None, :] != first[:, None]] = -np.inf
         return near.argmax(1).astype(np.int32)
 
-    def visits(self, unit: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order."""
+    def visits(self, unit: np.ndarray, most: int, rows_of: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: ``most``, and more until they hold ``least`` rows."""
         heap = [(-s, 0, i) for i, s in enumerate((self.inner @ unit).tolist())]
         heapq.heapify(heap)
         near, out = (self.leaves @ unit).tolist(), []
         children: dict[int, list[int]] = {}
         for k, p in enumerate(self.parent.tolist()):
             children.setdefault(p, []).append(k)
-        while heap and len(out) < most:
+        held = 0
+        while heap and (len(out) < most or held < least):
             _, is_leaf, i = heapq.heappop(heap)
             if is_leaf:
                 out.append(i)
+                held += rows_of.get(i, 0) if rows_of else 0
             else:
                 for k in children.get(i, ()):
                     heapq.heappush(heap, (-near[k], 1, k))
@@ -197,7 +200,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
 
     # Leaves are packed into bins of bounded size, in the tree's order; a larger leaf is a bin of its
     # own, cut into blocks, as are the queries of a bin. At most MOST_LEAVES counts reach the driver.
-    rows_of = {r.leaf: r.n for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    counted = index.groupBy("leaf", "vec_id").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("ids")).collect()
+    rows_of, ids_of = {r.leaf: r.n for r in counted}, {r.leaf: r.ids for r in counted}
     bin_of, sizes = np.zeros(len(tree.leaves), np.int32), [0]
     for i in range(len(tree.leaves)):
         if sizes[-1] and sizes[-1] + rows_of.get(i, 0) > VECTOR_BLOCK:
@@ -212,7 +216,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
                 part = b.slice(at, 256)
                 take, bins, leaves = [], [], []
                 for i, u in enumerate(_units(_matrix(part.column(1), width))):
-                    found = np.array(own.visits(u, visits))
+                    found = np.array(own.visits(u, visits, ids_of, k + 1))
                     for j in np.unique(bin_of[found]):
                         take.append(i)
                         bins.append(int(j))

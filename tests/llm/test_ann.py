@@ -47,3 +47,26 @@ def test_small_and_empty(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in out] == [(0, 1, 1), (0, 2, 2), (2, 1, 1), (2, 2, 0)]
     assert ann.nearest(table(spark, []), ann.F.col("vec_id") % 2 == 0).collect() == []
     assert ann.nearest(table(spark, [(0, [1.0, 2.0])]), ann.F.col("vec_id") == 0).collect() == []
+
+
+def test_outliers_get_all_their_rows(spark):
+    """Tight clusters need one visit; an outlier that is a leaf of its own still gets k rows."""
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(20, 8))
+    rows = [(i, (centers[i % 20] + 0.01 * rng.normal(size=8)).tolist()) for i in range(1500)]
+    rows += [(2000 + i, (-3 * centers[:5].sum(axis=0) + 4 * rng.normal(size=8)).tolist()) for i in range(12)]
+    report = {}
+    out = ann.nearest(table(spark, rows), (ann.F.col("vec_id") % 5 == 0) | (ann.F.col("vec_id") >= 2000), 5, report=report).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    queries = [i for i, _ in rows if i % 5 == 0 or i >= 2000]
+    assert report["visits"] < report["leaves"]
+    assert set(got) == set(queries) and all(len(v) == 5 and i not in v for i, v in got.items())
+
+
+def test_walk_widens():
+    tree = ann.Tree(np.eye(3), np.eye(3), np.arange(3, dtype=np.int32))
+    sizes, unit = {0: 1, 1: 2, 2: 50}, np.array([0.9, 0.4, 0.1])
+    assert tree.visits(unit, 1) == [0] and tree.visits(unit, 1, sizes, 3) == [0, 1] and tree.visits(unit, 1, sizes, 6) == [0, 1, 2]
+    assert tree.visits(unit, 1, sizes, 900) == [0, 1, 2] and tree.visits(unit, 2, sizes, 2) == [0, 1]
