@@ -144,8 +144,8 @@ register("x10_decisions", _tests)
 
 
 def _bootstrap(s: SparkSession, d: str) -> DataFrame:
-    a = stats.bootstrap_median_difference(_weekend(s, d), "totalSteps", "part", "weekend", "weekday", n_boot=400)
-    b = stats.bootstrap_spearman(_pairs(s, d), "x", "y", n_boot=400)
+    a = stats.bootstrap_median_difference(_weekend(s, d), "totalSteps", "part", "weekend", "weekday")
+    b = stats.bootstrap_spearman(_pairs(s, d), "x", "y")
     return s.createDataFrame([("median_difference", a["low"], a["high"]), ("spearman", b["low"], b["high"])], "estimate string, low double, high double")
 
 
@@ -169,14 +169,14 @@ register("w10_time_split", lambda s, d: modeling.time_split(testbed.fact_daily(s
 
 def _classifiers(s: SparkSession, d: str) -> DataFrame:
     frame = _recovery(s, d)
-    rows = modeling.evaluate_classifiers(frame, features.feature_columns(frame), "target_low_recovery_next_night", ["dummy", "logistic"], tune="balanced_accuracy")
+    rows = modeling.evaluate_classifiers(frame, features.feature_columns(frame), "target_low_recovery_next_night", tune="balanced_accuracy")
     names = ("model", "split", "threshold", "n", "accuracy", "balanced_accuracy", "roc_auc")
     return s.createDataFrame([tuple(r[n] for n in names) for r in rows], "model string, split string, threshold double, n long, accuracy double, balanced_accuracy double, roc_auc double")
 
 
 def _regressors(s: SparkSession, d: str) -> DataFrame:
     frame = _recovery(s, d)
-    rows = modeling.evaluate_regressors(frame, features.feature_columns(frame), "target_sleepRecoveryScore_next_night", ["dummy_median", "ridge"])
+    rows = modeling.evaluate_regressors(frame, features.feature_columns(frame), "target_sleepRecoveryScore_next_night")
     return s.createDataFrame([(r["model"], r["split"], r["n"], r["mae"], r["rmse"]) for r in rows], "model string, split string, n long, mae double, rmse double")
 
 
