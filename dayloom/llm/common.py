@@ -25,14 +25,21 @@ TEXT_ROWS = 256
 BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
+_LOCAL: dict[str, str] = {}  # folders of sessions on one machine, by application
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the
-    cluster names one; else (tests, one machine) a temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir where the cluster names one;
+    else, on one machine only, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="dayloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(remove_dir, spark, found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="dayloom-")
+            atexit.register(remove_dir, spark, _LOCAL[app])
+        found = _LOCAL[app]
     return found.rstrip("/")
 
 
@@ -57,22 +64,32 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-#: Bits of a filter that is sent to executors (4 MB); at most as many positions reach the driver.
-FILTER_BITS = 1 << 25
+#: Bits of a filter that is sent to executors (4 MB), and of the blocks it is put together from.
+FILTER_BITS, BLOCK_BITS = 1 << 25, 1 << 15
 
 
 def bit_filter(values: DataFrame) -> Broadcast:
     """A bitmap of the low bits of a column of longs, of fixed size. It passes every value of the
     column and, the fuller it is, ever more others: what it lets through still has to be joined."""
-    positions = values.select(F.col(values.columns[0]).bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int").alias("p")).distinct()
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[np.asarray(positions.toArrow()["p"])] = True
-    return values.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            bits[np.asarray(b.column(0).drop_null(), np.int64) & (FILTER_BITS - 1)] = True
+        blocks = np.packbits(bits, bitorder="little").reshape(-1, BLOCK_BITS // 8)
+        used = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=["block", "bits"])
+
+    parts = values.select(F.col(values.columns[0]).cast("long")).mapInArrow(run, "block int, bits binary").groupBy("block").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
+    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in parts.collect():  # at most FILTER_BITS / BLOCK_BITS rows
+        bitmap[row.block * BLOCK_BITS // 8 : (row.block + 1) * BLOCK_BITS // 8] = np.frombuffer(row.bits, np.uint8)
+    return values.sparkSession.sparkContext.broadcast(bitmap)
 
 
 def passes(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     at = values & (FILTER_BITS - 1)
-    return (bitmap[at >> 3] >> (7 - (at & 7))) & 1 == 1
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 class Scratch:
@@ -81,12 +98,16 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
-        if int(spark.conf.get(BATCH_CONF)) > BATCH_ROWS:  # 10,000 rows of texts or lists fill a worker's memory
-            spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
     def put(self, df: DataFrame, tag: str) -> DataFrame:
         path = fresh_path(self.spark, tag)
-        df.write.parquet(path)
+        before = self.spark.conf.get(BATCH_CONF)
+        if int(before) > BATCH_ROWS:  # 10,000 rows of texts or lists fill a worker's memory
+            self.spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(BATCH_CONF, before)
         atexit.register(remove_dir, self.spark, path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)

@@ -1,57 +1,69 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Documents are sets of word shingles; two link when  den * |x & y| >= num * |x | y|.  The
-operator returns the connected components of the links, exactly (shingles are compared by
-62-bit hashes).
+operator returns the connected components of the links. Shingles are compared by 57-bit hashes
+and whole sets by 128-bit ones; apart from their collisions the result is exact.
 
 1. Documents with equal sets form one class (an aggregate over digests); the rest works on
    one document a class, so exact copies are never paired.
-2. A global order of shingles puts frequent ones last (by two counting passes over all
-   documents). A document's leading shingles in that order must hold at least ``need`` shingles
-   that any partner leads with too; only these are exchanged.
-3. Classes that lead with the same shingle are compared to that shingle's leader, the class
-   with the fewest rare shingles; those found to link form groups (components so far).
-4. The token-group matrix: for each group the union of its members' leading shingles. A
-   query's overlap with a group's union bounds its overlap with each member; only groups
-   that reach ``need`` are opened, and their members compared with the query.
-   Where two classes share frequent shingles only, each rare shingle of either is missing
-   from the other, so two classes with many rare ones are never paired: this keeps large
-   groups of near copies from pairing up.
-5. Exact comparison of whole texts, and components of all links.
-
-Nothing that grows with the corpus is collected or broadcast: the set of frequent shingles is
-bounded by ``FREQUENT`` through the count that makes a shingle frequent.
+2. A global order of shingles: by how many documents have them (powers of two, counted over all
+   documents), then by hash. A document's first shingles in that order, its lead, must share
+   ``needed`` shingles with the lead of any partner; only leads are exchanged.
+3. Where a shingle is the first that two documents share, all before it lie outside the other, so
+   their places say how much the two differ at least. ``slack`` is what a document has left of
+   its half of the most that may differ: a pair's must not sum to less than 0.
+4. For each shingle and range of sizes the document with most slack leads; the others are compared
+   with it. Those that link form groups (components so far). All others keep their distance from
+   the leader on frequent shingles.
+5. The token-group matrix: for each shingle and group the bounds of its members. A query is held
+   against the groups with more slack than its own: its place, its rare shingles and its
+   distance from the common leader (two documents differ at least by the difference of their
+   distances) bound its overlap with any member. Of the groups left, those whose union of
+   shingles holds ``needed`` of the query's are opened, and their members compared with the query,
+   first the likeliest of each group, then the others of groups that have not merged yet.
+6. Components of all links.
+
+Comparisons move each text once to the task that hashes it, then its shingles to the leaders it
+meets; a leader that many follow is dealt over several tasks. Nothing that grows with the corpus
+is collected or broadcast: the frequent shingles are bounded by ``FREQUENT`` through the count that
+makes a shingle frequent, bit filters have a fixed size. Joins on shingles carry narrow rows; one
+shingle that very many documents lead with is split by Spark's adaptive skew join.
 
 Edge cases: null text is empty; a document without words has n_shingles 0 and is its own
 component; with fewer words than ``k`` the whole sequence is the one shingle. Rows that
-repeat a doc_id are one document. A null doc_id links with nothing and has a null component.
-An empty table gives an empty table.
+repeat a doc_id are one document, which links as any of its texts does. A null doc_id links with
+nothing and has a null component. An empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayloom.llm.common import Scratch, bit_filter, passes, release, small_batches
 
-FREQUENT = 1 << 20  # bound on the number of frequent shingles, which are broadcast (8 MB)
+FREQUENT = 1 << 20  # bound on the number of frequent shingles, which are broadcast (9 MB)
 LEAST_FREQUENT = 16  # documents that a frequent shingle leads, at least
-LAST = np.int64(1 << 62)
+HASH_BITS = 57  # of a shingle; above them the power of two of its count, 0 if it is not frequent
+HOT = 1 << HASH_BITS
+FOLLOWERS = 2048  # of one leader that one task compares
+SEGMENT = 1 << 19  # bytes of text hashed at once
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_CLASS = np.zeros(256, bool)
-_CLASS[[0x20, 9, 10, 11, 12, 13]] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_SPLIT = bytes([0x20, 9, 10, 11, 12, 13])
 
 
 class Powers:
-    """Powers of the base and of its inverse modulo 2^64, as long as the longest text so far."""
+    """Powers of the base and of its inverse modulo 2^64, as long as the longest segment so far."""
 
     def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)
@@ -73,51 +85,85 @@ def _mix(a: np.ndarray) -> np.ndarray:
     return a ^ (a >> np.uint64(33))
 
 
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words. Works by segments that end at white space, so that
+    memory beyond the hashes does not grow with the text."""
+    hashes, at, begin = [], [], 0
+    while begin < len(raw):
+        stop = begin + SEGMENT
+        if stop < len(raw):
+            while True:  # the next white space; a word may be longer than a segment
+                space = _SPACE[raw[stop : stop + 4096]]
+                if not len(space) or space.any():
+                    stop += int(space.argmax()) if len(space) else 0
+                    break
+                stop += len(space)
+        part = raw[begin:stop]
+        word = np.zeros(len(part) + 2, np.int8)
+        word[1:-1] = ~_SPACE[part]
+        edge = np.flatnonzero(np.diff(word))
+        starts, ends = edge[::2], edge[1::2]
+        if len(starts):
+            up, down = _POWERS.get(len(part))
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+            hashes.append(_mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+            at.append(starts + begin)
+        begin = stop
+    return (np.concatenate(hashes), np.concatenate(at)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def token_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of each text's k-word shingles, one after another, and where each
+    text's begin (one place more than texts). Words split at ASCII white space, A-Z lower-cased."""
+    raws = [(t or "").encode("utf-8").lower() for t in texts]
+    first = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])])
+    h, at = _words(np.frombuffer(b"\n".join(raws), np.uint8))
+    begin = np.searchsorted(at, first)  # of each text among the words
+    count = np.diff(begin)
+
+    def fold(start: np.ndarray, width: int) -> np.ndarray:
+        out = np.full(len(start), np.uint64(width))
+        for i in range(width):
+            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[start + i])
+        return (out >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
+    sizes = np.where(count >= k, count - k + 1, (count > 0).astype(np.int64))
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    values = np.empty(offsets[-1], np.int64)
+    long = count >= k
+    row = np.repeat(np.flatnonzero(long), sizes[long])
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes[long]) - sizes[long], sizes[long])
+    values[offsets[row] + place] = fold(begin[row] + place, k)
+    for width in range(1, k):
+        short = np.flatnonzero(count == width)
+        values[offsets[short]] = fold(begin[short], width)
+    for i in range(len(texts)):
+        values[offsets[i] : offsets[i + 1]].sort()
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[offsets[:-1][sizes > 0]] = True
+    return values[new], np.concatenate([[0], np.cumsum(new)])[offsets]
+
+
 def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 62-bit hashes of the k-word shingles; words split at ASCII white space,
-    A-Z lower-cased."""
-    raw = np.frombuffer((text or "").encode("utf-8").lower(), np.uint8)
-    n = len(raw)
-    word = np.empty(n + 2, np.int8)
-    word[0] = word[-1] = 0
-    word[1:-1] = ~_CLASS[raw]
-    edge = np.flatnonzero(np.diff(word))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.empty(0, np.int64)
-    up, down = _POWERS.get(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    h = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    width = min(k, len(h))
-    m = len(h) - width + 1
-    out = np.full(m, np.uint64(width))
-    for i in range(width):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + m])
-    out = (out >> np.uint64(2)).astype(np.int64)
-    out.sort()
-    return out[np.concatenate([[True], out[1:] != out[:-1]])]
-
-
-def spare(n: int, num: int, den: int) -> int:
+    return token_sets([text], k)[0]
+
+
+def spare(n, num: int, den: int):
     """How many of n shingles a partner may lack: n - ceil(num/den * n)."""
-    return n - -(-num * n // den)
+    return n + -num * n // den
 
 
-def lead_length(n: int, num: int, den: int) -> int:
+def lead_length(n, num: int, den: int):
     e = spare(n, num, den)
-    return min(n, e + 2 + e // 8)
+    return np.minimum(n, e + 2 + e // 8)
 
 
-def needed(n: int, num: int, den: int) -> int:
+def needed(n, num: int, den: int):
     """Leading shingles that a partner of any allowed size shares at least."""
-    m = max(1, -(-num * n // den))
-    return max(1, min(lead_length(n, num, den) - spare(n, num, den), lead_length(m, num, den) - spare(m, num, den)))
-
-
-def links(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return den * both >= num * (len(x) + len(y) - both) > 0
+    m = np.maximum(1, -(-num * n // den))
+    return np.maximum(1, np.minimum(lead_length(n, num, den) - spare(n, num, den), lead_length(m, num, den) - spare(m, num, den)))
 
 
 def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -127,61 +173,81 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.empty(0, np.int64), pa.int64()))
+def ordered_sets(texts: list[str | None], k: int, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``token_sets`` in the global order, and how many of each text's shingles are rare."""
+    values, offsets = token_sets(texts, k)
+    known, level = frequent
+    rare = np.diff(offsets)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        hot = known[at] == values
+        values[hot] |= level[at[hot]] << HASH_BITS
+        rare = rare - np.diff(np.concatenate([[0], np.cumsum(hot)])[offsets])
+        for i in np.flatnonzero(rare < np.diff(offsets)):
+            values[offsets[i] : offsets[i + 1]].sort()
+    return values, offsets, rare
+
+
+def _lists(values: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The first ``lengths`` values of each list."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[offsets[row] + np.arange(len(row)) - ends[row]], pa.int64()))
 
 
-def _count(docs: DataFrame, k: int, num: int, den: int, known, floor: int) -> tuple[np.ndarray, int]:
-    """Frequent shingles. Without ``known``: counted over every document's leading shingles by
-    hash. With it: over all shingles of documents that mostly lead with known ones."""
+def _count(docs: DataFrame, k: int, num: int, den: int, known, floor: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Frequent shingles and their counts. Without ``known``: counted over every document's first
+    shingles by hash. With it: over all shingles of documents that mostly lead with known ones."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = known.value if known is not None else None
         for b in small_batches(batches):
-            found = []
-            for t in b.column(0).to_pylist():
-                s = shingles(t, k)
-                lead = s[: lead_length(len(s), num, den)]
-                if frequent is None:
-                    found.append(lead)
-                elif len(lead) and 4 * among(lead, frequent).sum() >= len(lead):
-                    found.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.empty(0, np.int64), pa.int64())], names=["v"])
+            values, offsets = token_sets(b.column(0).to_pylist(), k)
+            n = np.diff(offsets)
+            row = np.repeat(np.arange(len(n)), n)
+            lead = np.arange(len(row)) - offsets[row] < lead_length(n, num, den)[row]
+            if known is not None:
+                hits = np.bincount(row[lead], among(values[lead], known.value), len(n))
+                lead = (4 * hits >= lead_length(n, num, den))[row]
+            yield pa.RecordBatch.from_arrays([pa.array(values[lead])], names=["v"])
 
     counts = docs.select("text").mapInArrow(run, "v long").groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_FREQUENT)
     scratch = Scratch(docs.sparkSession)
     counts = scratch.put(counts, "frequent")
-    while True:  # at most FREQUENT shingles: raises the floor until they are
-        left = counts.where(F.col("n") > floor).count()
-        if left <= FREQUENT // 2:
-            break
+    while counts.where(F.col("n") > floor).count() > FREQUENT // 2:  # at most FREQUENT shingles: raises the floor until they are
         floor *= 2
-    out = np.sort(np.asarray(counts.where(F.col("n") > floor).select("v").toArrow()["v"], np.int64))
+    out = counts.where(F.col("n") > floor).toArrow().sort_by("v")
     scratch.drop(counts)
-    return out, floor
+    return np.asarray(out["v"], np.int64), np.asarray(out["n"], np.int64), floor
+
+
+def _frequent(docs: DataFrame, k: int, num: int, den: int):
+    """Broadcast: sorted frequent shingles and the powers of two of their counts."""
+    spark = docs.sparkSession
+    first, n, floor = _count(docs, k, num, den, None, LEAST_FREQUENT)
+    if len(first):
+        shared = spark.sparkContext.broadcast(first)
+        more, m, _ = _count(docs, k, num, den, shared, floor)
+        both = np.union1d(first, more)
+        counts = np.zeros(len(both), np.int64)
+        counts[np.searchsorted(both, first)] = n
+        at = np.searchsorted(both, more)
+        counts[at] = np.maximum(counts[at], m)
+        first, n = both, counts
+    return spark.sparkContext.broadcast((first, np.floor(np.log2(np.maximum(n, 2))).astype(np.int64)))
 
 
 def _led(docs: DataFrame, k: int, num: int, den: int, frequent) -> DataFrame:
-    """doc_id, n, digest, rare (shingles that are not frequent), need, lead_n, lead: the first
-    shingles in the global order, half as many again as are exchanged."""
+    """doc_id, n, digest, rare (shingles that are not frequent), need and the lead."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            n, digest, rare, need, lead_n, lead = [], [], [], [], [], []
-            for t in b.column(1).to_pylist():
-                s = shingles(t, k)
-                hot = among(s, frequent.value)
-                length = lead_length(len(s), num, den)
-                n.append(len(s))
-                digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                rare.append(len(s) - int(hot.sum()))
-                need.append(needed(len(s), num, den) if len(s) else 0)
-                lead_n.append(length)
-                lead.append(np.concatenate([s[~hot], s[hot] + LAST])[: length + length // 2])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(rare, pa.int32()), pa.array(need, pa.int32()), pa.array(lead_n, pa.int32()), _lists(lead)], names=["doc_id", "n", "digest", "rare", "need", "lead_n", "lead"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest binary, rare int, need int, lead_n int, lead array<long>")
+            values, offsets, rare = ordered_sets(b.column(1).to_pylist(), k, frequent.value)
+            n = np.diff(offsets)
+            digest = [xxhash.xxh3_128_digest(values[i:j].tobytes()) if j > i else None for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+            need = np.where(n > 0, needed(n, num, den), 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(rare, pa.int32()), pa.array(need, pa.int32()), _lists(values, offsets, lead_length(n, num, den))], names=["doc_id", "n", "digest", "rare", "need", "lead"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest binary, rare int, need int, lead array<long>")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -209,165 +275,221 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> DataFrame:
-    """(a, b) of the pairs (x, y) whose whole texts link. Only texts of documents in a pair are moved
-    (a bit filter drops most others before the shuffle), once for both sides; rows arrive sorted
-    by y, whose shingles are kept from row to row."""
+def _compare(pairs: DataFrame, docs: DataFrame, heads: DataFrame, scratch: Scratch, k: int, num: int, den: int, frequent) -> DataFrame:
+    """x, y, linked, apart (frequent shingles that only one of them has) of the pairs (x, y).
+
+    Texts of documents in a pair (a bit filter drops most others before the shuffle) meet their
+    pairs and are hashed; the shingles of each x go to the tasks of its y, those of y once to each
+    of them, where they come first."""
     pairs = scratch.put(pairs.select("x", "y"), "pairs")
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    wanted = bit_filter(ids)
+    fans = pairs.groupBy("y").agg(F.ceil(F.count("*") / F.lit(FOLLOWERS)).cast("int").alias("parts"))
+    leading = fans.select(F.col("y").alias("x"), "y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("follows"))
+    following = pairs.join(fans, "y").select("x", "y", F.pmod(F.xxhash64("x"), "parts").cast("int").alias("part"), F.lit(True).alias("follows"))
+    tasks = scratch.put(leading.union(following).join(heads.select("x", "doc_id", "digest"), "x"), "tasks")
+    wanted = bit_filter(tasks.select("doc_id"))
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(b.column(0).is_valid())
             yield b.filter(pa.array(passes(wanted.value, np.asarray(b.column(0), np.int64))))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_id, last = None, None
-        for b in small_batches(batches):
-            x_id, y_id, x_text, y_text = (c.to_pylist() for c in b.columns)
-            keep = []
-            for i in range(len(x_id)):
-                if last_id != (y_id[i], y_text[i]):
-                    last_id, last = (y_id[i], y_text[i]), shingles(y_text[i], k)
-                keep.append(links(shingles(x_text[i], k), last, num, den))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], names=["a", "b"])
-
-    texts = docs.mapInArrow(pick, docs.schema).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = scratch.put(texts, "texts")
-    x = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text"))
-    y = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("y_text"))
-    rows = pairs.join(x, "x").join(y, "y").select("x", "y", "x_text", "y_text")
-    found = scratch.put(rows.mapInArrow(run, "a long, b long"), "links")
-    scratch.drop(pairs, texts)
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = None, None
+        for b in small_batches(batches, 64):
+            digests, texts, keep, found = b.column("digest").to_pylist(), b.column("text"), [], []
+            for i, digest in enumerate(digests):
+                if digest != last:
+                    values, _, rare = ordered_sets([texts[i].as_py()], k, frequent.value)
+                    if xxhash.xxh3_128_digest(values.tobytes()) != digest:
+                        continue  # another text of a repeated doc_id
+                    last, kept = digest, (values, rare[0])
+                keep.append(i)
+                found.append(kept)
+            if keep:
+                at, sizes = pa.array(keep), np.array([len(v) for v, _ in found])
+                lists = _lists(np.concatenate([v for v, _ in found]), np.cumsum(sizes) - sizes, sizes)
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in ("x", "y", "part", "follows")], pa.array([r for _, r in found], pa.int32()), lists], names=["x", "y", "part", "follows", "rare", "tokens"])
+
+    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, lead, lead_rare = None, None, 0
+        for whole in batches:
+            for b in small_batches([whole]):
+                y, follows, rare = np.asarray(b.column("y")), np.asarray(b.column("follows")), np.asarray(b.column("rare"))
+                tokens = b.column("tokens")
+                values, n = np.asarray(tokens.flatten()), np.asarray(tokens.value_lengths()).astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(n)])
+                shared, apart = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+                lead_n = np.zeros(len(n), np.int64)
+                cuts = np.concatenate([[0], np.flatnonzero((y[1:] != y[:-1]) | ~follows[1:]) + 1, [len(y)]])
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    if not follows[i]:
+                        leader, lead, lead_rare = y[i], np.array(values[offsets[i] : offsets[i + 1]]), int(rare[i])
+                    if leader != y[i]:
+                        raise ValueError("a leader's shingles are missing")
+                    part = values[offsets[i] : offsets[j]]
+                    hit = among(part, lead)
+                    both = np.diff(np.concatenate([[0], np.cumsum(hit)])[offsets[i : j + 1] - offsets[i]])
+                    hot = np.diff(np.concatenate([[0], np.cumsum(hit & (part >= HOT))])[offsets[i : j + 1] - offsets[i]])
+                    shared[i:j], lead_n[i:j] = both, len(lead)
+                    apart[i:j] = n[i:j] - rare[i:j] + len(lead) - lead_rare - 2 * hot
+                linked = den * shared >= num * (n + lead_n - shared)
+                keep = pa.array(follows)
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (b.column("x"), b.column("y"), pa.array(linked), pa.array(apart, pa.int32()))], names=["x", "y", "linked", "apart"])
+
+    texts = docs.mapInArrow(pick, docs.schema).join(tasks, "doc_id").select("x", "y", "part", "follows", "digest", "text")
+    sets = texts.mapInArrow(hashed, "x long, y long, part int, follows boolean, rare int, tokens array<long>")
+    found = scratch.put(sets.repartition("y", "part").sortWithinPartitions("y", "part", "follows").mapInArrow(compared, "x long, y long, linked boolean, apart int"), "compared")
+    scratch.drop(pairs, tasks)
     return found
 
 
 def _exchanged(heads: DataFrame, shared=None) -> DataFrame:
-    """v of every class's leading shingles; with a bit filter also x, rare, n and need, of those
-    that pass it."""
+    """v of every class's lead; with a bit filter also x, place, rare, n and need, of those that
+    pass it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            for b in small_batches([whole], 1024):
                 lists = b.column("lead")
-                sizes, lead_n = np.asarray(lists.value_lengths()), np.asarray(b.column("lead_n"))
+                if shared is None:
+                    yield pa.RecordBatch.from_arrays([lists.flatten()], names=["v"])
+                    continue
+                sizes = np.asarray(lists.value_lengths())
                 row = np.repeat(np.arange(b.num_rows), sizes)
                 v, place = np.asarray(lists.flatten()), np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                keep = place < lead_n[row]
-                if shared is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(v[keep])], names=["v"])
-                else:
-                    keep &= passes(shared.value, v)
-                    take = pa.array(row[keep])
-                    yield pa.RecordBatch.from_arrays([pa.array(v[keep]), *[b.column(c).take(take) for c in ("doc_id", "rare", "n", "need")]], names=["v", "x", "rare", "n", "need"])
-
-    names = ["lead_n", "lead"] if shared is None else ["doc_id", "rare", "n", "need", "lead_n", "lead"]
-    return heads.select(*names).mapInArrow(run, "v long" if shared is None else "v long, x long, rare int, n int, need int")
+                keep = passes(shared.value, v)
+                take = pa.array(row[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(v[keep]), pa.array(place[keep], pa.int32()), *[b.column(c).take(take) for c in ("x", "rare", "n", "need")]], names=["v", "place", "x", "rare", "n", "need"])
+
+    names = ["lead"] if shared is None else ["x", "rare", "n", "need", "lead"]
+    return heads.select(*names).mapInArrow(run, "v long" if shared is None else "v long, place int, x long, rare int, n int, need int")
+
+
+def _classes(led: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Classes (digest, doc_id, node); heads (x: the node, doc_id, digest, n, rare, need, lead), one
+    row a class; edges between the classes of doc_ids that have several. A class is known by its
+    smallest doc_id; a second class of the same doc_id by a number above all."""
+    known = led.where("digest is not null and doc_id is not null")
+    classes = scratch.put(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "classes")
+    several = scratch.put(known.groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first <> last").select("doc_id"), "several")
+    bridges = None
+    if several.limit(1).count():
+        top = led.agg(F.max("doc_id")).first()[0]
+        firsts = classes.groupBy("doc_id").agg(F.min("digest").alias("first"))
+        others = classes.join(firsts, "doc_id").where("digest <> first").select("digest", (F.lit(top + 1) + F.monotonically_increasing_id()).alias("other"))
+        classes = scratch.put(classes.join(scratch.put(others, "others"), "digest", "left").select("digest", "doc_id", F.coalesce("other", "doc_id").alias("node")), "classes")
+        of_several = known.select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct()
+        bridges = scratch.put(of_several.join(classes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b")), "bridges")
+    else:
+        classes = classes.withColumn("node", F.col("doc_id"))
+    heads = led.join(classes, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    return classes, scratch.put(heads.select(F.col("node").alias("x"), "doc_id", "digest", "n", "rare", "need", "lead"), "heads"), bridges
+
+
+def _sizes_fit(a: str | Column, b: str | Column, num: int, den: int) -> Column:
+    return F.lit(den) * F.least(a, b) >= F.lit(num) * F.greatest(a, b)
+
+
+def _candidates(rows: DataFrame, leaders: DataFrame, apart: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """(x, to, y) of the queries x and the members y of the groups opened for them. ``rows`` have
+    shingles that several groups lead with."""
+    # A member's standing at a shingle towards the leader of each size range next to its own.
+    # over: shingles outside any partner there, as slack is counted; far: distance from the leader.
+    near = F.filter("leaders", lambda p: (p["size"] == F.col("size")) | (F.abs(p["size"] - F.col("size")) <= 1) & (p["slack"] + F.col("slack") >= 0))
+    entries = rows.join(leaders, "v").withColumn("p", F.explode(near)).select("v", "x", "g", "slack", "n", "rare", "size", F.col("p.size").alias("at"), F.col("p.x").alias("leader"))
+    hot = F.col("v") >= F.lit(HOT)
+    entries = entries.join(apart.select("x", F.col("y").alias("leader"), "apart"), ["x", "leader"], "left")
+    far = F.when(~hot, F.lit(None)).when(F.col("x") == F.col("leader"), 0).otherwise(F.col("apart")) * F.lit(num + den)
+    over = F.when(hot, F.lit(num + den) * F.col("rare") - F.lit(den - num) * F.col("n")).otherwise(-F.col("slack"))
+    entries = entries.select("v", "at", "x", "g", "slack", "n", "size", over.alias("over"), F.coalesce(far, F.lit(0)).cast("long").alias("far_least"), F.coalesce(far, F.lit(1 << 50)).cast("long").alias("far_most"))
+    entries = scratch.put(entries, "entries")
+
+    matrix = entries.groupBy("v", "at", F.col("g").alias("to")).agg(
+        F.max("slack").alias("to_slack"), F.min("over").alias("to_over"), F.min(F.col("over") - F.col("far_most")).alias("to_inner"), F.min(F.col("over") + F.col("far_least")).alias("to_outer"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    asked = entries.where("at = size")
+    fits = (F.col("g") != F.col("to")) & (F.col("slack") <= F.col("to_slack")) & (F.col("slack") + F.col("to_slack") >= 0) & (F.col("over") + F.col("to_over") <= 0)
+    fits &= (F.col("over") + F.col("far_least") + F.col("to_inner") <= 0) & (F.col("over") - F.col("far_most") + F.col("to_outer") <= 0)
+    fits &= (F.lit(den) * F.col("n1") >= F.lit(num) * F.col("n")) & (F.lit(den) * F.col("n") >= F.lit(num) * F.col("n0"))
+    bounded = scratch.put(asked.join(matrix, ["v", "at"]).where(fits).select("x", "to").distinct(), "bounded")
+
+    # The overlap of a query with the union of a group's shingles.
+    union = rows.select("v", F.col("g").alias("to")).distinct()
+    overlap = bounded.join(rows.select("x", "v", "need"), "x").join(union, ["v", "to"]).groupBy("x", "to").agg(F.count("*").alias("c"), F.first("need").alias("need"))
+    opened = scratch.put(overlap.where("c >= need").select("x", "to"), "opened")
+
+    member = entries.select("v", "at", F.col("g").alias("to"), F.col("x").alias("y"), F.col("slack").alias("y_slack"), F.col("over").alias("y_over"), F.col("far_least").alias("y_least"), F.col("far_most").alias("y_most"), F.col("n").alias("y_n"))
+    pairs = opened.join(asked, "x").join(member, ["v", "at", "to"])
+    fits = (F.col("slack") + F.col("y_slack") >= 0) & (F.col("over") + F.col("y_over") <= 0) & _sizes_fit("n", "y_n", num, den)
+    fits &= (F.col("over") + F.col("far_least") + F.col("y_over") - F.col("y_most") <= 0) & (F.col("over") - F.col("far_most") + F.col("y_over") + F.col("y_least") <= 0)
+    pairs = scratch.put(pairs.where(fits).groupBy("x", "to", "y").agg(F.count("*").alias("c")), "candidates")
+    scratch.drop(entries, bounded, opened)
+    return pairs
+
+
+def _links(rows: DataFrame, kept: DataFrame, docs: DataFrame, heads: DataFrame, scratch: Scratch, k: int, num: int, den: int, frequent) -> DataFrame:
+    """(a, b) links enough for the components of all."""
+    best = F.max(F.struct("slack", (-F.col("x")).alias("back"), "n")).alias("l")
+    leaders = rows.groupBy("v", "size").agg(best).select("v", F.struct("size", F.col("l.slack").alias("slack"), (-F.col("l.back")).alias("x"), F.col("l.n").alias("n")).alias("leader"))
+    leaders = scratch.put(leaders.groupBy("v").agg(F.collect_list("leader").alias("leaders")), "leaders")
+
+    near = F.filter("leaders", lambda p: (F.abs(p["size"] - F.col("size")) <= 1) & (p["slack"] + F.col("slack") >= 0) & (p["x"] != F.col("x")) & _sizes_fit(p["n"], F.col("n"), num, den))
+    starred = rows.join(leaders, "v").select("x", F.explode(near).alias("p")).select("x", F.col("p.x").alias("y")).distinct()
+    apart = _compare(starred, docs, heads, scratch, k, num, den, frequent)
+    links = apart.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    groups = scratch.put(components(links, scratch).withColumnRenamed("node", "x"), "groups")
+    grouped = scratch.put(_spread(kept.join(groups, "x", "left").withColumn("g", F.coalesce("component", "x")), num, den), "grouped")
 
-
-def _possible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs left by exact bounds: sizes, and the shingles up to the place in the global order
-    to which both leading lists are complete."""
-    out = pairs.select("x", "y")
+    several = grouped.groupBy("v").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("v")
+    contested = scratch.put(grouped.join(several, "v"), "contested")
+    scratch.drop(grouped)
+    pairs = _candidates(contested, leaders, apart, scratch, num, den)
+    likeliest = pairs.groupBy("x", "to").agg(F.max(F.struct("c", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
+    tried = _compare(likeliest, docs, heads, scratch, k, num, den, frequent)
+    links = scratch.put(links.union(tried.where("linked").select("x", "y")), "links")
+    merged = scratch.put(components(links, scratch), "merged")
+    rest = pairs.select("x", "y")
     for side in ("x", "y"):
-        out = out.join(heads.select(F.col("doc_id").alias(side), F.col("n").alias(f"{side}_n"), F.col("lead").alias(f"{side}_lead")), side)
-    out = out.where(F.lit(den) * F.least("x_n", "y_n") >= F.lit(num) * F.greatest("x_n", "y_n"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
-            x_n, y_n = np.asarray(b.column(2)), np.asarray(b.column(3))
-            keep = np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                x, y = np.asarray(b.column(4)[i].values), np.asarray(b.column(5)[i].values)
-                n = int(x_n[i]) + int(y_n[i])
-                most = n - 2 * -(-num * n // (num + den))  # |x & y| >= num / (num + den) * (|x| + |y|)
-                if len(x) < x_n[i]:
-                    y = y[: np.searchsorted(y, x[-1], "right")]
-                if len(b.column(5)[i]) < y_n[i]:
-                    x = x[: np.searchsorted(x, np.asarray(b.column(5)[i].values)[-1], "right")]
-                keep[i] = len(x) + len(y) - 2 * int(among(x, y).sum()) <= most
-            kept = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept)], names=["x", "y"])
-
-    return out.select("x", "y", "x_n", "y_n", "x_lead", "y_lead").mapInArrow(run, "x long, y long")
+        rest = rest.join(merged.select(F.col("node").alias(side), F.col("component").alias(f"{side}_g")), side, "left").withColumn(f"{side}_g", F.coalesce(f"{side}_g", side))
+    rest = rest.where("x_g <> y_g").join(tried.select("x", "y"), ["x", "y"], "left_anti").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    more = _compare(rest, docs, heads, scratch, k, num, den, frequent)
+    return links.union(more.where("linked").select("x", "y"))
 
 
-def heavy_for(num: int, den: int):
-    """More rare shingles than a class may have that links by frequent ones only: of its n, at least
-    num/den * n must be shared."""
-    return F.lit(den) * (F.col("n") - F.col("rare")) < F.lit(num) * F.col("n")
+def _spread(kept: DataFrame, num: int, den: int) -> DataFrame:
+    """One row for each shared shingle of a lead, with its slack and the range of sizes."""
+    rows = kept.withColumn("t", F.explode("tokens")).withColumn("v", F.col("t.v"))
+    slack = F.lit(den - num) * F.col("n").cast("long") - F.lit(num + den) * F.col("t.place")
+    # documents of sizes that fit are at most one range apart
+    return rows.withColumn("slack", slack).withColumn("size", F.floor(F.log(F.col("n")) / F.lit(math.log(den / num) * 1.0001)).cast("int")).drop("t", "tokens", "component")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles (of the set) and component_id (the smallest doc_id that links reach)."""
+    if not 0 < num < den:
+        raise ValueError("the least similarity num / den must be between 0 and 1")
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first, floor = _count(docs, k, num, den, None, LEAST_FREQUENT)
-    if len(first):
-        shared = spark.sparkContext.broadcast(first)
-        first = np.union1d(first, _count(docs, k, num, den, shared, floor)[0])
-    frequent = spark.sparkContext.broadcast(first)
+    frequent = _frequent(docs, k, num, den)
     whole = scratch.put(_led(docs, k, num, den, frequent), "led")
     led = scratch.put(whole.select("doc_id", "n", "digest"), "sizes")
-
-    classes = led.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class"))
-    classes = scratch.put(classes, "classes")
-    heads = whole.drop("digest").join(classes.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id"])
-    heads = scratch.put(heads, "heads")
+    classes, heads, bridges = _classes(whole, scratch)
     scratch.drop(whole)
 
-    # Leading shingles that more than one class has, and their leaders.
+    # Leading shingles that more than one class has; classes that share enough of them.
     common = scratch.put(_exchanged(heads).groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "common")
     release(spark)
-    rows = scratch.put(_exchanged(heads, bit_filter(common)).join(common, "v"), "rows")
-    scratch.drop(common)
-    leaders = rows.groupBy("v").agg(F.min(F.struct("rare", F.col("x").alias("id"))).alias("l")).select("v", F.col("l.id").alias("leader"))
-    enough = rows.groupBy("x").agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= need").select("x")
-    rows = scratch.put(rows.join(enough, "x", "left_semi").join(leaders, "v"), "rows")
-
-    # Groups: each class against the leaders it shares enough with.
-    starred = rows.where("x <> leader").groupBy("x", F.col("leader").alias("y")).agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= need")
-    found = _verify(_possible(starred, heads, num, den), docs, scratch, k, num, den)
-    groups = components(found, scratch)
-    grouped = rows.join(groups.withColumnRenamed("node", "x"), "x", "left").select("v", "x", "rare", "n", "need", F.coalesce("component", "x").alias("g"))
-    grouped = scratch.put(grouped, "grouped")
-    scratch.drop(rows)
-
-    # The matrix, and each query's overlap with the groups that it is not in. heavy: more rare shingles
-    # than half of the most that may differ; two heavy ones need a rare shingle in common.
-    heavy = F.lit(2 * num) * F.col("rare") > F.lit(den - num) * F.col("n")
-    hot = F.col("v") >= F.lit(int(LAST))
-    several = grouped.groupBy("v").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("v")
-    open_rows = grouped.join(several, "v").withColumn("heavy", heavy)
-    matrix = open_rows.groupBy("v", F.col("g").alias("to")).agg(F.min(F.col("heavy").cast("int")).alias("all_heavy"))
-    bounded = open_rows.join(matrix, "v").where((F.col("g") != F.col("to")) & ~(hot & F.col("heavy") & (F.col("all_heavy") == 1)))
-    qualified = bounded.groupBy("x", "to").agg(F.count("*").alias("c"), F.first("need").alias("need"), F.max((~hot).cast("int")).alias("rare_shared"), F.max(hot.cast("int")).alias("hot_shared"), F.first("rare").alias("x_rare"), F.first("n").alias("x_n"), F.first("heavy").alias("heavy"))
-    # a heavy query's frequent shingles were not all counted: there a shared rare one is enough
-    qualified = qualified.where((F.col("c") >= F.col("need")) | (F.col("heavy") & (F.col("rare_shared") == 1)))
-    # Opening a group: pairs that share a rare leading shingle, and pairs that share frequent ones only;
-    # the latter have nothing in common beyond each one's frequent shingles, which must be enough.
-    qualified = scratch.put(qualified, "qualified")
-    rare_rows = open_rows.where(~hot)
-    asked = rare_rows.select("v", "x", "g").join(rare_rows.select("v", F.col("g").alias("to")).distinct(), "v").where("g <> to").join(qualified.where("rare_shared = 1").select("x", "to"), ["x", "to"], "left_semi")
-    by_rare = asked.select("v", "x", "to").join(rare_rows.select("v", F.col("g").alias("to"), F.col("x").alias("y")), ["v", "to"]).select("x", "y")
-    light = (~heavy_for(num, den)) & (F.col("v") >= F.lit(int(LAST)))
-    members = grouped.where(light).groupBy("x").agg(F.first("g").alias("to"), F.first("rare").alias("y_rare"), F.first("n").alias("y_n")).withColumnRenamed("x", "y")
-    least_common = F.ceil(F.lit(num) * (F.col("x_n") + F.col("y_n")) / F.lit(num + den))
-    enough_left = F.least(F.col("x_n") - F.col("x_rare"), F.col("y_n") - F.col("y_rare")) >= least_common
-    by_frequent = qualified.where("hot_shared = 1").join(members, "to").where(enough_left).select("x", "y")
-    opened = by_rare.union(by_frequent).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    more = _verify(_possible(opened, heads, num, den), docs, scratch, k, num, den)
-    scratch.drop(heads, grouped)
-
-    linked = found.union(more)
-    final = components(linked, scratch)
-    classes = classes.join(final.withColumnRenamed("node", "class"), "class", "left").select("digest", F.coalesce("component", "class").alias("component_id"))
-    out = led.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest").join(classes, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return out
+    rows = _exchanged(heads, bit_filter(common)).join(common, "v")
+    narrow = scratch.put(heads.select("x", "doc_id", "digest"), "ids")
+    kept = rows.groupBy("x").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("need").alias("need"), F.collect_list(F.struct("place", "v")).alias("tokens"))
+    kept = scratch.put(kept.where(F.size("tokens") >= F.col("need")), "kept")
+    scratch.drop(common, heads)
+
+    links = _links(scratch.put(_spread(kept, num, den), "rows"), kept, docs, narrow, scratch, k, num, den, frequent)
+    final = components(links if bridges is None else links.union(bridges), scratch)
+    classes = classes.join(final.withColumnRenamed("component", "reached"), "node", "left").select("digest", F.coalesce("reached", "node").alias("component_id"))
+    found = led.where("digest is not null").join(classes, "digest", "left").unionByName(led.where("digest is null").withColumn("component_id", F.col("doc_id")))
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
