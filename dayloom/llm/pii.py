@@ -13,10 +13,12 @@ different seeds support are identifiers no base pattern knows; each place where
 behind such a pattern becomes a span of kind ``identifier``, unless a base span covers it.
 
 Distribution: one pass over the texts writes spans and instances, narrow rows; the graph is a
-table of distinct (pattern, instance) pairs with counts, aggregated before every shuffle. A
-pattern that a third of all tokens share is only summed up, never gathered.
+table of distinct (pattern, instance) pairs, aggregated before every shuffle. Sums by pattern are
+combined before the shuffle; a pattern that a third of all tokens share is one key of two joins of
+narrow rows, both sides of which are written tables, so that Spark's adaptive skew join splits it.
 
-Edge cases: null text is empty: no spans, the digest of an empty string. Rows that repeat a
+Edge cases: null text is empty: no spans, the digest of an empty string. Very long texts and texts of
+very many tokens take time in proportion (times the logarithm of their tokens). Rows that repeat a
 doc_id are kept apart by a hash of their text; equal rows get equal results. Empty tables give
 empty tables; extra columns are ignored by ``find_private``, kept by ``redact``.
 """
@@ -44,6 +46,7 @@ TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 PIECE = r"(?<![A-Za-z0-9_%+@#~-])(?<![A-Za-z0-9_%+@#~-]\.)(?:[A-Za-z_%+#~-]++\.?)*+[0-9@](?:\.?[A-Za-z0-9_%+@#~-])*+"
 VALUE = r"^([^=:]*+[=:]++)?([\"'(\[<]*+)([^\"'()\[\]<>]+?)([\"')\]>,.;:!?]*)$"
 LONGEST_TOKEN = 120  # longer ones are split into pieces
+LONGEST_CONTEXT = 80  # characters; a longer context is known by its hash
 LEAST_VALUE = 4  # shorter tokens identify nobody
 ROUNDS = 3
 LEAST_SEEDS = 3
@@ -82,19 +85,27 @@ def _holds(kind: str, text: Column) -> Column:
     return {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": F.rlike(text, F.lit(r"[0-9]\.[0-9]")), "card": F.rlike(text, F.lit(r"[0-9][\x20-]?[0-9]"))}[kind]
 
 
+def _running(values: Column, add=lambda x, y: x + y) -> Column:
+    """Running sums (or other totals) of an array, by doubling: each step adds what lies 2^e places
+    before. An array of n takes log2(n) steps over n values."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int"))
+    back = lambda a, i, e: F.get(a, i - F.pow(F.lit(2), e).cast("int"))
+    return F.aggregate(steps, values, lambda a, e: F.transform(a, lambda x, i: F.coalesce(add(x, back(a, i, e)), x)))
+
+
 def _places(text: Column, pattern: str, found: Column) -> Column:
-    """Spans (start, end, m, before) of the matches: lengths of what lies between them, summed up."""
+    """Spans (start, end, m, before) of the matches: running sums over the lengths of the matches and
+    of what lies between them. before: the last two words in front."""
     parts = F.split(text, pattern, -1)
     empty = F.expr("cast(array() as array<struct<start:int,end:int,m:string,before:string>>)")
     pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    ends = _running(F.transform(pairs, lambda x: F.length(x["p"]) + F.length(x["m"])))
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.right(x["p"], F.lit(80)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    def span(x: Column, end: Column) -> Column:
+        before = F.substring_index(F.rtrim(F.regexp_replace(x["p"], r"\s+", " ")), " ", -2)
+        return F.struct((end - F.length(x["m"])).alias("start"), end.alias("end"), x["m"].alias("m"), before.alias("before"))
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda s: s["out"])).otherwise(empty)
+    return F.when(F.size(found) > 0, F.zip_with(pairs, ends, span)).otherwise(empty)
 
 
 def _kind_filter(kind: str):
@@ -109,8 +120,8 @@ def _token_spans(text: Column) -> Column:
         """Of a token that is no single value; the words in front of a piece may be in the token."""
         inner = _places(t["m"], PIECE, F.regexp_extract_all(t["m"], F.lit(PIECE), F.lit(0)))
         said = lambda s: F.regexp_replace(s["before"], r"[^\p{L}\p{N}]+", " ")
-        before = lambda s: F.when(F.trim(said(s)) != "", said(s)).when(s["start"] == F.length(s["before"]), t["before"]).otherwise(F.lit(""))
-        moved = lambda s: F.struct((t["start"] + s["start"]).alias("start"), (t["start"] + s["end"]).alias("end"), s["m"].alias("m"), before(s).alias("before"))
+        before = lambda s, i: F.when(F.trim(said(s)) != "", said(s)).when(i == 0, t["before"]).otherwise(F.lit(""))
+        moved = lambda s, i: F.struct((t["start"] + s["start"]).alias("start"), (t["start"] + s["end"]).alias("end"), s["m"].alias("m"), before(s, i).alias("before"))
         return F.transform(inner, moved)
 
     whole = lambda t: (F.length(t["m"]) <= LONGEST_TOKEN) & F.rlike(t["m"], F.lit(VALUE))
@@ -127,23 +138,32 @@ def prepare(df: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, key (of the row's text), base spans by kind, and tokens with a digit or @. One pass."""
     rows = df.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text", F.length("text")))
-    spans = base_spans(F.col("text"))
-    return rows.select("doc_id", "key", *[c.alias(k) for k, c in spans.items()], _token_spans(F.col("text")).alias("tokens"))
+    rows = rows.select("doc_id", "key", *[c.alias(k) for k, c in base_spans(F.col("text")).items()], _token_spans(F.col("text")).alias("tokens"))
+    return rows.withColumn("tokens", _with_reach(F.col("tokens"), F.concat(*[F.col(k) for k in KINDS])))
+
+
+def _with_reach(tokens: Column, base: Column) -> Column:
+    """Adds to each token the greatest end of the base spans that begin before its own end. Both are put
+    in one order, so that many tokens and many spans cost no product."""
+    at = F.concat(F.transform(tokens, lambda t: F.struct(t["end"].alias("at"), F.lit(0).alias("end"))), F.transform(base, lambda s: F.struct(s["start"].alias("at"), s["end"].alias("end"))))
+    ends = _running(F.transform(F.array_sort(at), lambda x: F.struct(x["end"].alias("reach"), (x["end"] == 0).alias("token"))), lambda x, y: F.when(y.isNotNull(), F.struct(F.greatest(x["reach"], y["reach"]).alias("reach"), x["token"].alias("token"))))
+    reach = F.when(F.size(base) > 0, F.transform(F.filter(ends, lambda x: x["token"]), lambda x: x["reach"])).otherwise(F.transform(tokens, lambda t: F.lit(0)))
+    return F.zip_with(tokens, reach, lambda t, r: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["m"].alias("m"), t["before"].alias("before"), r.alias("reach")))
 
 
 def instances(prepared: DataFrame) -> DataFrame:
     """One row a token: doc_id, key, start, end, value, pattern, seed."""
-    base = F.concat(*[F.col(k) for k in KINDS])
-    rows = prepared.where(F.size("tokens") > 0).select("doc_id", "key", base.alias("base"), F.explode("tokens").alias("t"))
+    rows = prepared.where(F.size("tokens") > 0).select("doc_id", "key", F.explode("tokens").alias("t"))
     part = lambda i: F.regexp_extract(F.col("t.m"), VALUE, i)
-    rows = rows.select("doc_id", "key", "base", "t", part(1).alias("inner"), F.length(F.concat(part(1), part(2))).alias("skip"), part(3).alias("value"))
+    rows = rows.select("doc_id", "key", "t", part(1).alias("inner"), F.length(F.concat(part(1), part(2))).alias("skip"), part(3).alias("value"))
     rows = rows.where((F.length("value") >= LEAST_VALUE) & F.rlike("value", F.lit("[0-9@]")))
     rows = rows.withColumn("start", F.col("t.start") + F.col("skip")).withColumn("end", F.col("start") + F.length("value"))
     words = F.split(F.trim(F.lower("t.before")), r"\s+")
     last, second = F.element_at(words, -1), F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit(""))
     context = F.when(F.col("inner") != "", F.lower("inner")).when(F.rlike(last, F.lit(r"^\W+$")), F.concat_ws(" ", second, last)).otherwise(last)
+    context = F.when(F.length(context) > LONGEST_CONTEXT, F.hex(F.xxhash64(context))).otherwise(context)
     shape = F.when(F.contains("value", F.lit("@")), "at").when(F.rlike("value", F.lit("[A-Za-z]")), "mixed").otherwise("number")
-    seed = F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
+    seed = F.col("t.reach") > F.col("start")  # a base span has a part of the value
     return rows.select("doc_id", "key", "start", "end", "value", F.concat_ws(" ", context, shape).alias("pattern"), seed.alias("seed"))
 
 
@@ -155,7 +175,8 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     edges = scratch.put(edges, "edges")
     scored = edges.withColumn("score", F.col("seed"))
     for _ in range(rounds):
-        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(DAMPING))).alias("confidence"), F.sum("seed").alias("seeds"))
+        # written, so that both sides of the join come from a shuffle and Spark can split a pattern that very many values share
+        patterns = scratch.put(scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(DAMPING))).alias("confidence"), F.sum("seed").alias("seeds")), "patterns")
         # log(1 - confidence) sums to the log of how likely every pattern of a value is wrong
         wrong = edges.join(patterns, "pattern").groupBy("value").agg(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))).alias("wrong"), F.max("seed").alias("known"))
         values = wrong.select("value", F.greatest("known", 1 - F.exp("wrong")).alias("score"))
@@ -166,7 +187,7 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def discovered(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, key, added): the spans that confident patterns add, by row of the input."""
-    confident = bootstrap(found, rounds).select("pattern", "confidence")
+    confident = Scratch(found.sparkSession).put(bootstrap(found, rounds).select("pattern", "confidence"), "confident")
     rows = found.where(~F.col("seed")).join(confident, "pattern")
     return rows.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end", "value")).alias("added"))
 
@@ -207,16 +228,12 @@ def _rewritten(text: Column, spans: Column) -> Column:
     """The text with ``spans`` (start, kind, end; sorted) replaced by tags. Overlapping ones give way
     to one tag, that of the longest among those that start first; all else stays as it is."""
     tags = F.array(*[F.lit(TAGS[k]) for k in (*KINDS, "identifier")])
-    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def add(state: Column, s: Column) -> Column:
-        more = F.array(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.get(tags, s["kind"]))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], F.concat(state["out"], more)).otherwise(state["out"]).alias("out"))
-
-    def joined(state: Column) -> Column:
-        return F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text)))
-
-    return F.when(F.size(spans) > 0, F.aggregate(spans, first, add, joined)).otherwise(text)
+    least = lambda x, y: F.when(y.isNotNull(), F.greatest(x, y))
+    reached = _running(F.transform(spans, lambda s: s["end"]), least)  # the end of all spans so far
+    placed = F.transform(spans, lambda s, i: F.struct(F.coalesce(F.get(reached, i - 1), F.lit(0)).alias("at"), s["start"].alias("start"), s["kind"].alias("kind")))
+    parts = F.transform(F.filter(placed, lambda s: s["start"] >= s["at"]), lambda s: F.concat(F.substring(text, s["at"] + 1, s["start"] - s["at"]), F.get(tags, s["kind"])))
+    rest = F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(text)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:

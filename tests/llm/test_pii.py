@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from dayloom.llm import pii
 
@@ -107,3 +108,23 @@ def test_redact_rewrites_spans_only(spark):
     assert out[33] == docs[23][1] and out[34] == "mail [EMAIL] then [PHONE] é😀 [IP]."
     for r in pii.find_private(df).collect():
         assert out[r.doc_id].count("[") == len({s.split(":")[1] for s in r.spans.split(",") if s}) - (r.doc_id == 34)
+
+
+def test_very_many_tokens_in_one_text(spark):
+    """100,000 tokens that are no base match, and spans between them: time in proportion."""
+    many = "".join(f"n{i} a{i}@b.c " if i % 100 == 0 else f"n{i} " for i in range(100_000))
+    df = spark.createDataFrame([(1, many)], "doc_id long, text string")
+    start = time.time()
+    out = pii.find_private(df).first()
+    assert out.n_email == 1000 and [s for s in out.spans.split(",") if s.startswith("email")] == brute(many)[2].split(",")
+    assert pii.redact(df).first().text.count("[EMAIL]") == 1000
+    assert time.time() - start < 120
+
+
+def test_long_contexts_are_told_apart(spark):
+    """Context words beyond 80 characters count whole, by their hash."""
+    tail = "z" * 100
+    docs = [(i, f"xy {'a' * 50}{tail} {w}@mail.example.com") for i, w in enumerate(names(20, 6))]
+    docs += [(50, f"xy {'a' * 50}{tail} jane@localhost"), (51, f"xy {'b' * 50}{tail} joan@localhost")]
+    out = {r.doc_id: r.spans for r in pii.find_private(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[50].startswith("identifier:") and out[51] == ""
