@@ -13,14 +13,14 @@ and whole sets by 128-bit ones; apart from their collisions the result is exact.
    their places say how much the two differ at least. ``slack`` is what a document has left of
    its half of the most that may differ: a pair's must not sum to less than 0.
 4. For each shingle and range of sizes the document with most slack leads; the others are compared
-   with it. Those that link form groups (components so far). All others keep their distance from
+   with it, if their leads share enough. Those that link form groups (components so far). All others keep their distance from
    the leader on frequent shingles.
 5. The token-group matrix: for each shingle and group the bounds of its members. A query is held
    against the groups with more slack than its own: its place, its rare shingles and its
    distance from the common leader (two documents differ at least by the difference of their
    distances) bound its overlap with any member. Of the groups left, those whose union of
-   shingles holds ``needed`` of the query's are opened, and their members compared with the query,
-   first the likeliest of each group, then the others of groups that have not merged yet.
+   shingles holds ``needed`` of the query's are opened, and their members (whose own leads must share
+   as many) compared with the query, first the likeliest of each group, then the others of groups that have not merged yet.
 6. Components of all links.
 
 Comparisons move each text once to the task that hashes it, then its shingles to the leaders it
@@ -52,7 +52,7 @@ FREQUENT = 1 << 20  # bound on the number of frequent shingles, which are broadc
 LEAST_FREQUENT = 16  # documents that a frequent shingle leads, at least
 HASH_BITS = 57  # of a shingle; above them the power of two of its count, 0 if it is not frequent
 HOT = 1 << HASH_BITS
-FOLLOWERS = 2048  # of one leader that one task compares
+FOLLOWERS = 256  # of one leader that one task compares
 SEGMENT = 1 << 19  # bytes of text hashed at once
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
@@ -275,17 +275,61 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def _tasks(pairs: DataFrame) -> DataFrame:
+    """x, y, part, follows: the rows that meet for the pairs (x, y), where a y with many x has several
+    parts and comes into each itself."""
+    fans = pairs.groupBy("y").agg(F.ceil(F.count("*") / F.lit(FOLLOWERS)).cast("int").alias("parts"))
+    leading = fans.select(F.col("y").alias("x"), "y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("follows"))
+    following = pairs.join(fans, "y").select("x", "y", F.pmod(F.xxhash64("x"), "parts").cast("int").alias("part"), F.lit(True).alias("follows"))
+    return leading.union(following)
+
+
+MET = "x long, y long, shared int, hot int, x_n int, y_n int, x_mark int, y_mark int"
+
+
+def _meet(sets: DataFrame) -> DataFrame:
+    """Of tasks with a number ``mark`` and sorted ``tokens``: how many tokens each pair shares, and how
+    many of them are frequent; both sides' sizes and marks. Tasks arrive in order, y first."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, lead, lead_mark = None, None, 0
+        for whole in batches:
+            for b in small_batches([whole]):
+                y, follows, mark = np.asarray(b.column("y")), np.asarray(b.column("follows")), np.asarray(b.column("mark"))
+                tokens = b.column("tokens")
+                values, n = np.asarray(tokens.flatten()), np.asarray(tokens.value_lengths()).astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(n)])
+                shared, hot, y_n, y_mark = (np.zeros(len(n), np.int64) for _ in range(4))
+                cuts = np.concatenate([[0], np.flatnonzero((y[1:] != y[:-1]) | ~follows[1:]) + 1, [len(y)]])
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    if not follows[i]:
+                        leader, lead, lead_mark = y[i], np.array(values[offsets[i] : offsets[i + 1]]), int(mark[i])
+                    if leader != y[i]:
+                        raise ValueError("a leader's tokens are missing")
+                    part, at = values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                    hit = among(part, lead)
+                    shared[i:j] = np.diff(np.concatenate([[0], np.cumsum(hit)])[at])
+                    hot[i:j] = np.diff(np.concatenate([[0], np.cumsum(hit & (part >= HOT))])[at])
+                    y_n[i:j], y_mark[i:j] = len(lead), lead_mark
+                out = [b.column("x"), b.column("y"), *(pa.array(c, pa.int32()) for c in (shared, hot, n, y_n, mark, y_mark))]
+                yield pa.RecordBatch.from_arrays(out, names=[f.split()[0] for f in MET.split(", ")]).filter(pa.array(follows))
+
+    return sets.repartition("y", "part").sortWithinPartitions("y", "part", "follows").mapInArrow(run, MET)
+
+
+def _possible(pairs: DataFrame, kept: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (x, y) whose leads share as many shingles as a link needs."""
+    leads = kept.select("x", F.col("need").alias("mark"), F.array_sort(F.transform("tokens", lambda t: t["v"])).alias("tokens"))
+    pairs = scratch.put(pairs.select("x", "y"), "pairs")
+    return scratch.put(_meet(_tasks(pairs).join(leads, "x")).where("shared >= x_mark and shared >= y_mark").select("x", "y", "shared"), "possible")
+
+
 def _compare(pairs: DataFrame, docs: DataFrame, heads: DataFrame, scratch: Scratch, k: int, num: int, den: int, frequent) -> DataFrame:
     """x, y, linked, apart (frequent shingles that only one of them has) of the pairs (x, y).
 
     Texts of documents in a pair (a bit filter drops most others before the shuffle) meet their
-    pairs and are hashed; the shingles of each x go to the tasks of its y, those of y once to each
-    of them, where they come first."""
-    pairs = scratch.put(pairs.select("x", "y"), "pairs")
-    fans = pairs.groupBy("y").agg(F.ceil(F.count("*") / F.lit(FOLLOWERS)).cast("int").alias("parts"))
-    leading = fans.select(F.col("y").alias("x"), "y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("follows"))
-    following = pairs.join(fans, "y").select("x", "y", F.pmod(F.xxhash64("x"), "parts").cast("int").alias("part"), F.lit(True).alias("follows"))
-    tasks = scratch.put(leading.union(following).join(heads.select("x", "doc_id", "digest"), "x"), "tasks")
+    pairs and are hashed; the shingles of each x go to the tasks of its y."""
+    tasks = scratch.put(_tasks(pairs).join(heads.select("x", "doc_id", "digest"), "x"), "tasks")
     wanted = bit_filter(tasks.select("doc_id"))
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,52 +338,28 @@ def _compare(pairs: DataFrame, docs: DataFrame, heads: DataFrame, scratch: Scrat
             yield b.filter(pa.array(passes(wanted.value, np.asarray(b.column(0), np.int64))))
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None
+        last, found = None, None
         for b in small_batches(batches, 64):
-            digests, texts, keep, found = b.column("digest").to_pylist(), b.column("text"), [], []
+            digests, texts, keep, sets = b.column("digest").to_pylist(), b.column("text"), [], []
             for i, digest in enumerate(digests):
                 if digest != last:
                     values, _, rare = ordered_sets([texts[i].as_py()], k, frequent.value)
                     if xxhash.xxh3_128_digest(values.tobytes()) != digest:
                         continue  # another text of a repeated doc_id
-                    last, kept = digest, (values, rare[0])
+                    last, found = digest, (values, rare[0])
                 keep.append(i)
-                found.append(kept)
+                sets.append(found)
             if keep:
-                at, sizes = pa.array(keep), np.array([len(v) for v, _ in found])
-                lists = _lists(np.concatenate([v for v, _ in found]), np.cumsum(sizes) - sizes, sizes)
-                yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in ("x", "y", "part", "follows")], pa.array([r for _, r in found], pa.int32()), lists], names=["x", "y", "part", "follows", "rare", "tokens"])
-
-    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, lead, lead_rare = None, None, 0
-        for whole in batches:
-            for b in small_batches([whole]):
-                y, follows, rare = np.asarray(b.column("y")), np.asarray(b.column("follows")), np.asarray(b.column("rare"))
-                tokens = b.column("tokens")
-                values, n = np.asarray(tokens.flatten()), np.asarray(tokens.value_lengths()).astype(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(n)])
-                shared, apart = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-                lead_n = np.zeros(len(n), np.int64)
-                cuts = np.concatenate([[0], np.flatnonzero((y[1:] != y[:-1]) | ~follows[1:]) + 1, [len(y)]])
-                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                    if not follows[i]:
-                        leader, lead, lead_rare = y[i], np.array(values[offsets[i] : offsets[i + 1]]), int(rare[i])
-                    if leader != y[i]:
-                        raise ValueError("a leader's shingles are missing")
-                    part = values[offsets[i] : offsets[j]]
-                    hit = among(part, lead)
-                    both = np.diff(np.concatenate([[0], np.cumsum(hit)])[offsets[i : j + 1] - offsets[i]])
-                    hot = np.diff(np.concatenate([[0], np.cumsum(hit & (part >= HOT))])[offsets[i : j + 1] - offsets[i]])
-                    shared[i:j], lead_n[i:j] = both, len(lead)
-                    apart[i:j] = n[i:j] - rare[i:j] + len(lead) - lead_rare - 2 * hot
-                linked = den * shared >= num * (n + lead_n - shared)
-                keep = pa.array(follows)
-                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (b.column("x"), b.column("y"), pa.array(linked), pa.array(apart, pa.int32()))], names=["x", "y", "linked", "apart"])
+                at, sizes = pa.array(keep), np.array([len(v) for v, _ in sets])
+                lists = _lists(np.concatenate([v for v, _ in sets]), np.cumsum(sizes) - sizes, sizes)
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in ("x", "y", "part", "follows")], pa.array([r for _, r in sets], pa.int32()), lists], names=["x", "y", "part", "follows", "mark", "tokens"])
 
     texts = docs.mapInArrow(pick, docs.schema).join(tasks, "doc_id").select("x", "y", "part", "follows", "digest", "text")
-    sets = texts.mapInArrow(hashed, "x long, y long, part int, follows boolean, rare int, tokens array<long>")
-    found = scratch.put(sets.repartition("y", "part").sortWithinPartitions("y", "part", "follows").mapInArrow(compared, "x long, y long, linked boolean, apart int"), "compared")
-    scratch.drop(pairs, tasks)
+    met = _meet(texts.mapInArrow(hashed, "x long, y long, part int, follows boolean, mark int, tokens array<long>"))
+    linked = F.lit(den) * F.col("shared") >= F.lit(num) * (F.col("x_n") + F.col("y_n") - F.col("shared"))
+    apart = F.col("x_n") - F.col("x_mark") + F.col("y_n") - F.col("y_mark") - 2 * F.col("hot")
+    found = scratch.put(met.select("x", "y", linked.alias("linked"), apart.alias("apart")), "compared")
+    scratch.drop(tasks)
     return found
 
 
@@ -421,7 +441,7 @@ def _candidates(rows: DataFrame, leaders: DataFrame, apart: DataFrame, scratch:
     pairs = opened.join(asked, "x").join(member, ["v", "at", "to"])
     fits = (F.col("slack") + F.col("y_slack") >= 0) & (F.col("over") + F.col("y_over") <= 0) & _sizes_fit("n", "y_n", num, den)
     fits &= (F.col("over") + F.col("far_least") + F.col("y_over") - F.col("y_most") <= 0) & (F.col("over") - F.col("far_most") + F.col("y_over") + F.col("y_least") <= 0)
-    pairs = scratch.put(pairs.where(fits).groupBy("x", "to", "y").agg(F.count("*").alias("c")), "candidates")
+    pairs = scratch.put(pairs.where(fits).select("x", "to", "y").distinct(), "candidates")
     scratch.drop(entries, bounded, opened)
     return pairs
 
@@ -434,7 +454,7 @@ def _links(rows: DataFrame, kept: DataFrame, docs: DataFrame, heads: DataFrame,
 
     near = F.filter("leaders", lambda p: (F.abs(p["size"] - F.col("size")) <= 1) & (p["slack"] + F.col("slack") >= 0) & (p["x"] != F.col("x")) & _sizes_fit(p["n"], F.col("n"), num, den))
     starred = rows.join(leaders, "v").select("x", F.explode(near).alias("p")).select("x", F.col("p.x").alias("y")).distinct()
-    apart = _compare(starred, docs, heads, scratch, k, num, den, frequent)
+    apart = _compare(_possible(starred, kept, scratch), docs, heads, scratch, k, num, den, frequent)
     links = apart.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     groups = scratch.put(components(links, scratch).withColumnRenamed("node", "x"), "groups")
     grouped = scratch.put(_spread(kept.join(groups, "x", "left").withColumn("g", F.coalesce("component", "x")), num, den), "grouped")
@@ -442,8 +462,11 @@ def _links(rows: DataFrame, kept: DataFrame, docs: DataFrame, heads: DataFrame,
     several = grouped.groupBy("v").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("v")
     contested = scratch.put(grouped.join(several, "v"), "contested")
     scratch.drop(grouped)
-    pairs = _candidates(contested, leaders, apart, scratch, num, den)
-    likeliest = pairs.groupBy("x", "to").agg(F.max(F.struct("c", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
+    pairs = _candidates(contested, leaders, apart, scratch, num, den).join(apart.select("x", "y"), ["x", "y"], "left_anti")
+    pairs = scratch.put(pairs, "untried")
+    shared = _possible(pairs, kept, scratch)
+    pairs = scratch.put(pairs.join(shared, ["x", "y"]), "pairs")
+    likeliest = pairs.groupBy("x", "to").agg(F.max(F.struct("shared", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
     tried = _compare(likeliest, docs, heads, scratch, k, num, den, frequent)
     links = scratch.put(links.union(tried.where("linked").select("x", "y")), "links")
     merged = scratch.put(components(links, scratch), "merged")
