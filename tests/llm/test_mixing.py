@@ -77,3 +77,39 @@ def test_every_labelled_domain_is_learned(spark, monkeypatch):
     assert mix.targets[model.domains.index("rare")] == 2 * mix.targets[0]
     with pytest.raises(ValueError, match="nowhere"):
         m.fit_rates(members, model.domains, {"rare": 0.5, "nowhere": 0.5})
+
+
+def test_infeasible_targets_are_reported(spark):
+    docs, labels = tables(spark)
+    with pytest.raises(ValueError, match="times the corpus"):
+        m.mix_documents(docs, labels, least=1.0, targets={"de": 0.9999, "en": 0.0001})
+    model = m.fit_domains(docs, labels, "lang")
+    members = m.memberships(docs.where("doc_id between 200 and 204").select("doc_id", "text"), model).cache()  # half and half each
+    with pytest.warns(UserWarning, match="targets missed"):
+        mix = m.fit_rates(members, model.domains, {"de": 0.999, "en": 0.001})
+    assert set(mix.missed()) == {"de", "en"}
+
+
+def test_each_domain_meets_its_target(spark):
+    """A domain of a hundredth of the tokens comes as near to its target as a large one."""
+    docs, labels = tables(spark)
+    model = m.fit_domains(docs, labels, "lang")
+    members = m.memberships(docs.where("doc_id < 200").select("doc_id", "text"), model).cache()
+    mix = m.fit_rates(members, model.domains, {"de": 0.01, "en": 0.99})
+    assert np.abs(mix.totals / mix.targets - 1).max() <= m.MISSED and not mix.missed()
+
+
+def test_long_texts_by_blocks(monkeypatch):
+    weights = np.log(np.random.default_rng(0).dirichlet(np.ones(3), m.PAIRS).astype(np.float32) + 1e-3)
+    model, text = m.DomainModel(["a", "b", "c"], weights), (EN + DE) * 200
+    whole = model.posterior(text)
+    monkeypatch.setattr(m, "CELLS", 5000)
+    assert np.allclose(model.posterior(text), whole, atol=1e-9)
+
+
+def test_clashing_names(spark):
+    docs, labels = tables(spark)
+    for name in ("__rate", "__copy", "__id", "__d", "__of"):
+        docs = docs.withColumn(name, docs["doc_id"] + 1)
+    out = m.mix_documents(docs, labels)
+    assert out.columns == docs.columns and {r["__rate"] for r in out.collect()} == {r["__rate"] for r in docs.collect()}
