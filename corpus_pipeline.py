@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayloom.llm import mixing, ngram_join, pieces, pii, quality
-from dayloom.llm.common import Scratch, read_table
+from dayloom.llm.common import Scratch, free_name, read_table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     shapes = scratch.put(quality.with_features(docs.select("doc_id", "text")), "shapes")
     model = quality.fit_pu(shapes, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
     scratch.drop(shapes)
-    kept = quality.score_documents(docs, model, out="__score").where(F.col("__score") >= quality.THRESHOLD)
+    score = free_name(docs, "__score")
+    kept = quality.score_documents(docs, model, out=score).where(F.col(score) >= quality.THRESHOLD)
     return kept.select(*docs.columns)
 
 
@@ -31,9 +32,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     an id are in no group and stay. Of rows that repeat an id one stays."""
     scratch = Scratch(spark)
     found = scratch.put(ngram_join.jaccard_components(docs, 5, 80, 100), "components")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
-    repeated = kept.groupBy("__id").count().where("count > 1").limit(1).count() > 0
-    out = docs.join(kept.distinct() if repeated else kept, F.col("doc_id") == F.col("__id"), "left_semi")
+    own = free_name(docs, "__id")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(own))
+    repeated = kept.groupBy(own).count().where("count > 1").limit(1).count() > 0
+    out = docs.join(kept.distinct() if repeated else kept, F.col("doc_id") == F.col(own), "left_semi")
     if repeated:
         out = out.dropDuplicates(["doc_id"])
     if found.where("doc_id is null").limit(1).count():
