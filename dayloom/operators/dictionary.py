@@ -147,3 +147,13 @@ def priority_counts(dictionary: DataFrame) -> DataFrame:
 
 def low_coverage(dictionary: DataFrame, below: float = 85.0) -> DataFrame:
     return dictionary.where(F.col("non_null_pct") < below).orderBy(F.desc("missing_pct"), "column")
+
+
+def quality_coverage(dictionary: DataFrame) -> DataFrame:
+    """The quality columns, those with most missing first."""
+    return dictionary.where(F.col("column").isin(*QUALITY_COLUMNS)).select("column", "non_null_pct", "missing_pct").orderBy(F.desc("missing_pct"), "column")
+
+
+def coverage_summary(dictionary: DataFrame) -> DataFrame:
+    """Least and median coverage of the quality columns."""
+    return quality_coverage(dictionary).agg(F.min("non_null_pct").alias("least_pct"), F.median("non_null_pct").alias("median_pct"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from dayloom.functions.exprs import KEY, as_date, clock_hour, flag, num, num_or_null, ratio, row_sum, score_bucket, weekday_name
-from dayloom.operators.features import local_offset_seconds
+from dayloom.operators.features import keep_one_per_day, local_offset_seconds
 
 
 def calendar(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -169,6 +169,56 @@ def suspicious_union(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.select(KEY).union(second.select(KEY)).distinct()
 
 
+def epoch_seconds(df: DataFrame, column: str) -> Column:
+    """The column's times as seconds, whatever unit they are in."""
+    return num(column) / {"s": 1, "ms": 1_000, "ns": 1_000_000_000}[epoch_unit(df, column)]
+
+
+def both_columns(df: DataFrame, first: str, second: str) -> DataFrame:
+    """The known values of two columns as one series."""
+    return df.select(F.explode(F.array(num(first), num(second))).alias("value")).where("value is not null")
+
+
+def robust_limit(df: DataFrame, columns: Sequence[str], share: float = 0.99, margin: float = 1.05) -> DataFrame:
+    """limit: a high percentile over all columns' values together, with a margin."""
+    values = df.select(F.explode(F.array(*[num(c) for c in columns])).alias("value")).where("value is not null")
+    return values.agg((F.percentile("value", F.lit(share)) * margin).alias("limit"))
+
+
+def lookup_days(series: DataFrame, days: DataFrame, column: str) -> DataFrame:
+    """The series' value on each of the days; null where it has none."""
+    return days.select(KEY).join(series.select(KEY, column), KEY, "left")
+
+
+def daily_differences(df: DataFrame) -> DataFrame:
+    """rhr_delta: the day's own resting heart rate less the one in force; bb_net_balance: battery
+    gained less spent."""
+    new = {}
+    if {"currentDayRestingHeartRate", "restingHeartRate"} <= set(df.columns):
+        new["rhr_delta"] = num("currentDayRestingHeartRate") - num("restingHeartRate")
+    if {"bodyBattery_chargedValue", "bodyBattery_drainedValue"} <= set(df.columns):
+        new["bb_net_balance"] = num("bodyBattery_chargedValue") - num("bodyBattery_drainedValue")
+    return df.withColumns(new) if new else df
+
+
+def target_availability(df: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """target, available (known values), median; one aggregate."""
+    one = df.agg(*[F.struct(F.lit(t).alias("target"), F.count(num(t)).alias("available"), F.median(num(t)).alias("median")).alias(f"t{i}") for i, t in enumerate(targets)])
+    return one.select(F.inline(F.array(*one.columns)))
+
+
+def best_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The first row of each group in the given order."""
+    return keep_one_per_day(df, order, group)
+
+
+def clipped(df: DataFrame, column: str, share: float = 0.98, least: int = 10) -> DataFrame:
+    """The column with values above its upper quantile set to it, if there are enough values."""
+    top, n = df.agg(F.percentile(num(column), F.lit(share)), F.count(num(column))).first()
+    v = num(column)
+    return df.withColumn(column, F.when(v > top, top).otherwise(v) if n >= least else v)
+
+
 def epoch_unit(df: DataFrame, column: str) -> str:
     """s, ms or ns by the size of the median."""
     m = df.agg(F.percentile(F.abs(num(column)), F.lit(0.5))).first()[0] or 0

@@ -74,4 +74,4 @@ for _kind in ("stress_duration_matches_allDayStress_TOTAL", "stress_awake_matche
 register("a13_corrupted_summary", lambda s, d: quality.corrupted_summary(labelled(s, d)), oracle('SELECT COUNT(*) FILTER (WHERE corrupted_stress_only_day) AS days, ROUND(AVG(CAST(corrupted_stress_only_day AS DOUBLE)) * 100, 2) AS pct, MIN("calendarDate") FILTER (WHERE corrupted_stress_only_day) AS first_day, MAX("calendarDate") FILTER (WHERE corrupted_stress_only_day) AS last_day FROM fact_quality'))
 register("a14_reason_table", lambda s, d: quality.reason_table(labelled(s, d)), oracle("SELECT reason, COUNT(*) AS count, ROUND(COUNT(*) * 100.0::DOUBLE / (SELECT COUNT(*) FROM fact_quality), 2) AS pct_of_rows FROM (SELECT trim(unnest(string_split(suspicion_reasons, ','))) AS reason FROM fact_quality) WHERE reason <> '' GROUP BY 1"))
 
-from dayloom.plans import catalog_explore  # noqa: E402,F401  registers the other queries
+from dayloom.plans import catalog_explore, catalog_ingest  # noqa: E402,F401  register the other queries

@@ -241,6 +241,20 @@ def pick_sanitised(sanitised: DataFrame | None, raw: DataFrame | None) -> DataFr
     return raw if not any(known(sanitised)) and any(known(raw)) else sanitised
 
 
+def numeric_share(df: DataFrame, column: str, least: float = 0.8) -> tuple[float, bool]:
+    """Share of the known values that read as a number, and whether it is enough to take them all so."""
+    v = F.col(column).cast("string")
+    share = df.agg(F.count(v.try_cast("double")) / F.nullif(F.count(v), F.lit(0))).first()[0] or 0.0
+    return share, share >= least
+
+
+def write_demo(spark: SparkSession, csv: str, out: str) -> DataFrame:
+    """The demo CSV as a typed Parquet table, a row a day in order."""
+    table = require_unique_days(normalise_demo(spark.read.option("header", True).csv(csv)), "demo")
+    table.sortWithinPartitions(KEY).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
 def normalise_demo(df: DataFrame) -> DataFrame:
     """The demo CSV: a date, two ISO times to epoch seconds, everything else numbers."""
     kinds = {KEY: as_date(KEY)} | {c: _epoch(F.col(c).cast("string")) for c in SLEEP_TIMES[:2] if c in df.columns}
@@ -248,9 +262,15 @@ def normalise_demo(df: DataFrame) -> DataFrame:
 
 
 def inspect_schema(recs: DataFrame) -> DataFrame:
-    """Top-level keys of records: in how many they occur, share, and the types seen."""
-    n = recs.select(F.explode(F.concat(F.array(F.struct(F.lit("").alias("key"), F.lit("").alias("kind"))), F.transform(_pairs(F.col("rec")), lambda e: F.struct(e["key"].alias("key"), F.regexp_extract(_tag(e["value"]), "^[A-Z]+", 0).alias("kind"))))).alias("e"))
-    counts = n.groupBy("e.key", "e.kind").agg(F.count("*").alias("count"))
+    """Keys of records: in how many they occur, their share, and the kinds of value seen. Keys of nested
+    objects are ``outer.inner``, those of objects in lists ``outer[].inner`` (once a record each)."""
+    kind = lambda v: F.regexp_extract(_tag(v), "^[A-Z]+", 0)
+    said = lambda path, v: F.struct(path.alias("key"), kind(v).alias("kind"))
+    inner = lambda e: F.transform(_pairs(e["value"]), lambda x: said(F.concat(e["key"], F.lit("."), x["key"]), x["value"]))
+    listed = lambda e: F.flatten(F.transform(_items(e["value"]), lambda i: F.transform(_pairs(i), lambda x: said(F.concat(e["key"], F.lit("[]."), x["key"]), x["value"]))))
+    own = F.transform(_pairs(F.col("rec")), lambda e: F.concat(F.array(said(e["key"], e["value"])), inner(e), listed(e)))
+    keys = F.concat(F.array(F.struct(F.lit("").alias("key"), F.lit("").alias("kind"))), F.array_distinct(F.flatten(own)))
+    counts = recs.select(F.explode(keys).alias("e")).groupBy("e.key", "e.kind").agg(F.count("*").alias("count"))
     total = counts.where("key = ''").select(F.col("count").alias("records"))
     return counts.where("key <> ''").join(F.broadcast(total)).select("key", "kind", "count", F.round(F.col("count") * F.lit(100.0).cast("double") / F.col("records"), 2).alias("pct")).orderBy("key", "kind")  # total: one row
 

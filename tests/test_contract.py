@@ -6,7 +6,7 @@ import pytest
 from dayloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["sql02_weekday_profiles", "sql04_stress_quartiles", "q_quality_labels", "a14_reason_table", "w5_entity_rolling", "g23_recovery_frame", "x7_spearman", "m8_threshold_table"]
+SAMPLE = ["sql02_weekday_profiles", "sql04_stress_quartiles", "q_quality_labels", "a14_reason_table", "w5_entity_rolling", "g23_recovery_frame", "x7_spearman", "m8_threshold_table", "s9_parse_activity", "s10_parse_sleep", "s29_schema_inspector", "v2_guids_and_precedence", "f11_clipped", "v7_report", "s15_csv_round_trip"]
 
 
 def test_entry(spark):

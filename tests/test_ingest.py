@@ -68,7 +68,7 @@ def test_build_daily(spark):
 def test_inspect_and_scrub(spark, tmp_path):
     write(tmp_path, "UDSFile_1.json", [{"calendarDate": "2025-01-15", "uuid": "a,b", "n": {"deviceId": 5, "k": 1}}, {"calendarDate": "2025-01-16"}])
     recs = g.records(g.read_documents(spark, str(tmp_path), g.ACTIVITY_FILES), g.ACTIVITY_LISTS, True)
-    assert {(r.key, r["count"], r.pct) for r in g.inspect_schema(recs).collect()} == {("calendarDate", 2, 100.0), ("uuid", 1, 50.0), ("n", 1, 50.0)}
+    assert {(r.key, r["count"], r.pct) for r in g.inspect_schema(recs).collect()} == {("calendarDate", 2, 100.0), ("uuid", 1, 50.0), ("n", 1, 50.0), ("n.deviceId", 1, 50.0), ("n.k", 1, 50.0)}
     assert [json.loads(r.json) for r in g.scrubbed(recs).orderBy("pos").collect()][0] == {"calendarDate": "2025-01-15", "n": {"k": 1}}
     assert [(r.type, r.size_bytes > 0) for r in g.inventory(spark, str(tmp_path)).collect()] == [("activity", True)]
 
@@ -79,3 +79,13 @@ def test_demo_and_fallback(spark):
     assert (rows[0].totalSteps, rows[0].sleepStartTimestampGMT, rows[1].totalSteps) == (12.0, 1736118000, None)
     raw, clean = df, df.withColumn("sleepStartTimestampGMT", g.F.lit(None).cast("string"))
     assert g.pick_sanitised(clean, raw) is raw and g.pick_sanitised(raw, clean) is raw
+
+
+def test_inspect_lists_and_demo_writer(spark, tmp_path):
+    write(tmp_path, "UDSFile_1.json", [{"calendarDate": "2025-01-15", "l": [{"a": 1}, {"a": 2}, 3, {"b": "x"}]}, {"calendarDate": "2025-01-16", "l": []}])
+    recs = g.records(g.read_documents(spark, str(tmp_path), g.ACTIVITY_FILES), g.ACTIVITY_LISTS, True)
+    assert {(r.key, r.kind, r["count"]) for r in g.inspect_schema(recs).collect()} == {("calendarDate", "STRING", 2), ("l", "ARRAY", 2), ("l[].a", "BIGINT", 1), ("l[].b", "STRING", 1)}
+    (tmp_path / "demo.csv").write_text("calendarDate,totalSteps,sleepStartTimestampGMT\n2025-01-06,12,2025-01-05T23:00:00Z\n2025-01-07,x,\n")
+    rows = g.write_demo(spark, str(tmp_path / "demo.csv"), str(tmp_path / "demo.parquet")).orderBy(KEY).collect()
+    assert [(r.totalSteps, r.sleepStartTimestampGMT) for r in rows] == [(12.0, 1736118000), (None, None)]
+    assert g.numeric_share(spark.createDataFrame([("1",), ("2",), ("x",), (None,)], "v string"), "v") == (pytest.approx(2 / 3), False)
