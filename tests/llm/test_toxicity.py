@@ -70,3 +70,48 @@ def test_threat_weight_is_learned(spark):
     assert x.fit_grammar(x.labelled_sample(docs, labels, "toxic", 3, 1)).menace == x.MENACE  # no text has one
     grammar = x.fit_grammar(x.labelled_sample(more, some, "toxic", 3, 1))
     assert grammar.menace < 0 and grammar.score("you beat") < x.THRESHOLD
+
+
+def test_scope_of_negation():
+    g = x.Grammar({"fool$": 3.0}, [-5.0, -4.0, 1.0, 0.0], -6.0)
+    assert g.weigh("you are a fool and the sky is not blue")[0] == 4.0  # behind the insult
+    assert g.weigh("the sky is not blue and you are a fool")[0] == 4.0  # up to the conjunction
+    assert g.weigh("not " + "x " * 20 + "a fool")[0] == 3.0 and g.weigh("not such a fool")[0] == -2.0
+    assert g.weigh("you are no fool but a fool")[0] == 4.0
+
+
+def slow(g, words):
+    """All choices of an insult, or of a threat and a target, one by one."""
+    read, found = list(g.read(words)), []
+
+    def negated(i):
+        for j in range(i - 1, max(-1, i - x.SCOPE - 1), -1):
+            if read[j][0] == "conjunction":
+                return False
+            if read[j][0] == "negation":
+                return True
+        return False
+
+    for i, (symbol, weight) in enumerate(read):
+        before = [s for s, _ in read[:i]]
+        if symbol == "insult":
+            on = (negated(i), "report" in before, "target" in [s for k, (s, _) in enumerate(read) if k != i], "threat" in before)
+            found.append(weight + sum(c for c, o in zip(g.context, on) if o))
+        if symbol == "threat" and "target" in [s for s, _ in read]:
+            found.append(g.menace + g.context[0] * negated(i) + g.context[1] * ("report" in before))
+    return max(found, default=None)
+
+
+def test_composition_against_brute_force():
+    rng = random.Random(11)
+    for _ in range(3000):
+        g = x.Grammar({"fool$": 3.0, "idio": rng.choice([1.0, 2.0])}, [-rng.choice([2.0, 5.0]), -4.0, 1.0, 0.5], -6.0, rng.choice([0.5, 2.0]))
+        words = rng.choices(["fool", "idiotic", "not", "said", "you", "kill", "and", "a", "b"], k=rng.randrange(12))
+        found = g.clause(words)
+        assert (found and found[0]) == slow(g, words), words
+
+
+def test_equal_texts_that_disagree_are_left_out(spark):
+    docs = spark.createDataFrame([(i, "same text") for i in range(10)] + [(20, "other"), (21, "third")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)] + [(20, 1), (21, 1)], "doc_id long, toxic int")
+    assert {r.text for r in x.labelled_sample(docs, labels, "toxic", 99991, 5).collect()} <= {"other", "third"}
