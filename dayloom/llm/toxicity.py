@@ -35,6 +35,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import pairwise
 from math import exp, log
 
 import numpy as np
@@ -50,7 +51,7 @@ from dayloom.llm.quality import held_out, trusted
 THRESHOLD = 0.7
 SAMPLE = 20_000  # labelled rows to learn from, in expectation
 PREFIXES = (4, 5, 6)
-LEAST_DOCS = 3  # different contexts that an arc must be seen in
+LEAST_DOCS = 3  # different contexts, and texts, that an arc must be seen in
 LEAST_ODDS = 1.9  # log odds of an insult arc, with half a context added to either side
 SEEN_CLEAN_ODDS = 4.0  # and of an arc that clean texts have too
 VARIED = 0.35  # least share of different contexts among the texts of an arc
@@ -239,7 +240,9 @@ def fit_grammar(sample: DataFrame) -> Grammar:
             for b in small_batches(batches):
                 seen = set()
                 for t in b.column(0).to_pylist():
-                    words, one = ["", *tokens(t), ""], 0 if known else xxhash.xxh3_64_intdigest(t) >> 1
+                    words = ["", *tokens(t), ""]
+                    # the least hash of two words in a row: near copies of a text mostly share it
+                    one = 0 if known else min(xxhash.xxh3_64_intdigest(f"{v} {w}") for v, w in pairwise(words)) >> 1
                     for k in range(1, len(words) - 1):
                         seen.add((words[k], f"{words[k - 1]} {words[k]} {words[k + 1]}", one))
                 rows = [(arc, context, one) for word, context, one in seen for arc in arcs_of((word,))]
@@ -253,14 +256,14 @@ def fit_grammar(sample: DataFrame) -> Grammar:
 
     def counted(y: int, known=None) -> DataFrame:
         rows = sample.where(F.col("y") == y).select("text").mapInArrow(contexts(known), "arc string, at long, context long, doc long")
-        return rows.groupBy("arc", "at").agg(F.count_distinct("context").alias("n"), F.count_distinct("doc").alias("docs")) if known is None else rows.groupBy("arc").agg(F.count_distinct("context").alias("clean"))
+        return rows.groupBy("arc", "at").agg(F.least(F.count_distinct("context"), F.count_distinct("doc")).alias("n"), F.count_distinct("doc").alias("docs")) if known is None else rows.groupBy("arc").agg(F.count_distinct("context").alias("clean"))
 
     n, ones = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not ones or ones == n:
         sample.unpersist()
         return Grammar(base=-30.0 if not ones else 30.0, menace=None)
-    # an arc counts once a context: the words of a text that was copied with small changes do not
-    # gather weight with the copies
+    # an arc counts once a context and once a text and its near copies: neither the words of a text that
+    # was copied with small changes gather weight, nor a word that one long text repeats
     scratch = Scratch(sample.sparkSession)
     often = scratch.put(counted(1).where((F.col("n") >= LEAST_DOCS) & (F.col("n") >= VARIED * F.col("docs"))), "arcs")
     both = often.join(counted(0, bit_filter(often.select("at"))), "arc", "left").withColumn("seen", F.coalesce("clean", F.lit(0)))
