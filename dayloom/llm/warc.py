@@ -6,10 +6,12 @@ reader finds the central directory from the file's end (with ZIP64's locator and
 locates the stored archive members and the index, and reads each record by its byte range.
 
 Distribution: payload digests (narrow rows) are aggregated to one leader a digest, so a
-payload that a third of all pages share is summed up before the shuffle; pages meet their
-leader by (page_id, digest), which has no hot key. Each task writes packages of bounded size
-to the shared folder under names that depend only on its partition, first under a temporary
-name: a task that runs again replaces its files by equal ones. Reading deals byte ranges, not
+payload that a third of all pages share is summed up before the shuffle; narrow rows then meet
+their leader by digest, a join that Spark splits where one digest is very frequent, and whole pages
+by (page_id, digest). Each task writes packages of bounded size to the shared folder under names
+that depend only on its partition, first under a temporary name: a task that runs again replaces
+its files by ones of the same records (their order may differ; readers go by each file's own
+directory and index). Reading deals byte ranges, not
 files, to tasks.
 
 Edge cases: null html is empty. A null url is left out of the record, control characters in
@@ -35,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import fresh_path, small_batches
+from dayloom.llm.common import Scratch, fresh_path, small_batches
 
 LEAST_REVISIT = 1000
 PACKAGE_BYTES = 64 << 20  # a package is closed beyond this
@@ -209,9 +211,12 @@ class Package:
 
 
 def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, digest, refers_to) of the pages that revisit another one's payload."""
+    """(page_id, digest, refers_to) of the pages that revisit another one's payload. The leaders are a
+    written table, so that both sides of the join come from a shuffle and Spark's adaptive skew join
+    splits a payload that very many pages have."""
     long_ones = pages.where(F.col("payload_bytes") >= least).select("page_id", "digest")
     leaders = long_ones.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    leaders = Scratch(pages.sparkSession).put(leaders, "leaders")
     return long_ones.join(leaders, "digest").where("page_id is null or page_id <> refers_to").dropDuplicates(["page_id", "digest"])
 
 

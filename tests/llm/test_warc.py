@@ -79,3 +79,14 @@ def test_walk_without_index():
     places = list(warc.walk_member(reader(raw), warc.Member("a.warc.gz", 0, 0, len(raw))))
     assert [raw[a : a + n] for a, n in places] == records
     assert pa is not None
+
+
+def test_other_columns_and_a_long_page(spark, tmp_path):
+    """Columns of the result's names in the input are not archived; a page of 3 MB comes back whole."""
+    long = "<p>é</p>" * 350_000
+    rows = [(1, "http://a", long, "x", 5), (2, "http://b", long, "x", 6), (3, "http://c", "short", "x", 7), (4, "http://d", "short", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string, refers_to long")
+    out = {r.page_id: r for r in warc.read_packages(warc.write_packages(pages, f"file://{tmp_path}/p"), f"file://{tmp_path}/p").collect()}
+    assert out[1].payload_bytes == out[2].payload_bytes == len(long.encode()) and out[1].payload_digest == hashlib.sha1(long.encode()).hexdigest()
+    assert (out[1].record_type, out[1].refers_to, out[2].record_type, out[2].refers_to) == ("revisit", 2, "response", None)
+    assert {out[i].record_type for i in (3, 4)} == {"response"}
