@@ -18,7 +18,8 @@ one fixed order, so that equal vectors get equal scores; ties go to the smaller
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components, or whose id is
 null, take no part; nor do those of another length than the most common one (ties: the
-smaller). Repeated rows of an id count once. Fewer than k candidates give fewer rows. An
+smaller). Repeated rows of an id count once; where their vectors differ, the first in the order of
+arrays counts. Fewer than k candidates give fewer rows. An
 empty table gives an empty result; extra columns are ignored.
 """
 
@@ -161,7 +162,9 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
     shape = "query_id long, rank int, vec_id long, score double"
     if not width:
         return spark.createDataFrame([], shape)
-    n = rows.count()
+    n, ids = rows.count(), rows.select("vec_id").distinct().count()
+    if ids < n:
+        rows, n = Scratch(spark).put(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors"), ids
     share = int((1 << 30) * min(1.0, SAMPLE / n))
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).select("vec_id", "v").orderBy("vec_id").toArrow()
     if not sample.num_rows:
@@ -185,10 +188,15 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
     q, q_ids = _matrix(few["q"], width), np.asarray(few["query_id"], np.int64)
 
     def brute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.empty(0, t) for t in (np.int64, np.int64, np.float64, np.int32)]  # the best k of each query so far
         for b in batches:
             ids, v, leaf = np.asarray(b.column(0), np.int64), _matrix(b.column(1), width), np.asarray(b.column(2))
-            for i, found, score in best(q, q_ids, v, ids, k) if len(ids) and len(q) else ():
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(ids[found]), pa.array(score), pa.array(leaf[found])], names=["i", "vec_id", "score", "leaf"])
+            found = [(i, ids[j], score, leaf[j]) for i, j, score in best(q, q_ids, v, ids, k)] if len(ids) and len(q) else []
+            kept = [np.concatenate([a, *(f[c] for f in found)]) for c, a in enumerate(kept)]
+            order = np.lexsort((kept[1], -kept[2], kept[0]))
+            order = order[np.arange(len(order)) - np.searchsorted(kept[0][order], kept[0][order]) < k]
+            kept = [a[order] for a in kept]
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in kept], names=["i", "vec_id", "score", "leaf"])
 
     by_query = Window.partitionBy("i").orderBy(F.desc("score"), "vec_id")
     truth = index.mapInArrow(brute, "i long, vec_id long, score double, leaf int").withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= k).select("i", "leaf").collect()

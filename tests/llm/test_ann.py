@@ -70,3 +70,19 @@ def test_walk_widens():
     sizes, unit = {0: 1, 1: 2, 2: 50}, np.array([0.9, 0.4, 0.1])
     assert tree.visits(unit, 1) == [0] and tree.visits(unit, 1, sizes, 3) == [0, 1] and tree.visits(unit, 1, sizes, 6) == [0, 1, 2]
     assert tree.visits(unit, 1, sizes, 900) == [0, 1, 2] and tree.visits(unit, 2, sizes, 2) == [0, 1]
+
+
+def test_repeated_ids_with_different_vectors(spark):
+    """One vector an id: the first in the order of arrays, whatever the rows' order."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(60)]
+    twice = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in (0, 1, 7)]
+    one = {}
+    for i, v in rows + twice:
+        one[i] = min(one.get(i, v), v)
+    truth = brute(list(one.items()), 10, 5)
+    for order in (rows + twice, (rows + twice)[::-1]):
+        got = {}
+        for r in sorted(ann.nearest(table(spark, order), ann.F.col("vec_id") % 10 == 0, 5).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert all(len(set(v)) == 5 for v in got.values()) and got == {i: [j for j, _ in v] for i, v in truth.items()}
