@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from dayloom.functions.exprs import KEY, as_date, clock_hour, flag, num, num_or_null, ratio, row_sum, score_bucket, weekday_name
+from dayloom.functions.positions import with_position
 from dayloom.operators.features import keep_one_per_day, local_offset_seconds
 
 
@@ -125,8 +126,8 @@ def describe(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (0
 def ecdf(df: DataFrame, column: str) -> DataFrame:
     """value, share: i / n over the sorted known values."""
     rows = df.select(num(column).alias("value")).where("value is not null")
-    w = Window.partitionBy(F.lit(1)).orderBy("value")
-    return rows.select("value", (F.row_number().over(w) / F.count("*").over(Window.partitionBy(F.lit(1)))).alias("share"))
+    placed, n = with_position(rows, "value")
+    return placed.select("value", (F.col("position") / F.lit(max(n, 1))).alias("share"))
 
 
 def segments(df: DataFrame, column: str, segment: Column) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dayloom.functions.exprs import KEY, num
+from dayloom.functions.positions import running_sums, with_position
 
 SPLITS = ("train", "valid", "test")
 CLASSIFIERS = ("dummy", "logistic", "logistic_l1", "elastic_net", "random_forest", "boosting")
@@ -40,11 +41,10 @@ def split_sizes(n: int, split: TimeSplit) -> tuple[int, int, int]:
 
 
 def time_split(df: DataFrame, split: TimeSplit = TimeSplit(), day: str = KEY) -> DataFrame:
-    """Adds ``split``: contiguous blocks by day. Cut days come from one count by day and a running
-    sum over days, so that rows themselves are not sorted in one place."""
-    train, valid, _ = split_sizes(df.count(), split)
-    place = F.row_number().over(Window.orderBy(day))
-    return df.withColumn("__n", place).withColumn("split", F.when(F.col("__n") <= train, "train").when(F.col("__n") <= train + valid, "valid").otherwise("test")).drop("__n")
+    """Adds ``split``: contiguous blocks by day, from each row's place in the order of days."""
+    placed, n = with_position(df.withColumn("__day", F.unix_date(F.col(day).cast("date"))), "__day", out="__n")
+    train, valid, _ = split_sizes(n, split)
+    return placed.withColumn("split", F.when(F.col("__n") <= train, "train").when(F.col("__n") <= train + valid, "valid").otherwise("test")).drop("__n", "__day")
 
 
 def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
@@ -58,8 +58,7 @@ def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5) ->
 def ranking_metrics(df: DataFrame, label: str, score: str) -> DataFrame:
     """roc_auc from average ranks and average precision (steps, ties together); null with one class."""
     by_score = df.select(F.col(label).cast("long").alias("y"), num(score).alias("s")).dropna().groupBy("s").agg(F.sum("y").alias("p"), (F.count("*") - F.sum("y")).alias("q"))
-    above = Window.partitionBy(F.lit(1)).orderBy(F.desc("s"))
-    cum = by_score.select("p", "q", F.sum("p").over(above).alias("cp"), F.sum("q").over(above).alias("cq"))
+    cum, _ = running_sums(by_score.withColumn("back", -F.col("s")), "back", {"cp": F.col("p"), "cq": F.col("q")})
     p, q = F.sum("p"), F.sum("q")
     auc = F.sum(F.col("q") * (F.col("cp") - F.col("p")) + F.col("q") * F.col("p") / 2.0)
     ap = F.sum(F.col("p") * F.col("cp") / (F.col("cp") + F.col("cq")).cast("double"))

@@ -1,7 +1,6 @@
 """Rank statistics, their tests and bootstrap intervals.
 
-Ranks come from one sort (a window over all values, as any rank does); everything after it are
-sums. Spark gives U, H and rho; the driver turns these few numbers into probabilities. Bootstrap
+Ranks come from counts by value and running sums over them; everything after are sums. Spark gives U, H and rho; the driver turns these few numbers into probabilities. Bootstrap
 replicates are dealt to executors in chunks; the data of a test (a column of day values) go along
 with each chunk, up to MOST_BOOTSTRAP values, as resampling needs all of them.
 """
@@ -12,29 +11,29 @@ from collections.abc import Iterable, Iterator
 from math import sqrt
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.column import Column
 
 from dayloom.functions.exprs import num
+from dayloom.functions.positions import value_ranks
 from dayloom.functions.special import chi2_sf, mann_whitney_exact_sf, normal_sf, t_sf
 
 MOST_BOOTSTRAP = 1_000_000
 
 
-def average_rank(value: Column, by: list[Column] | None = None) -> Column:
-    """Ranks from 1; ties share the mean of theirs."""
-    keys = by or [F.lit(1)]
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
+def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds the rank from 1 of a column without nulls; ties share the mean of theirs."""
+    return df.join(value_ranks(df, column).select(column, F.col("rank").alias(out)), column)
 
 
 def rank_sums(df: DataFrame, value: str, group: str) -> DataFrame:
-    """group, n, rank_sum, median, and ties: the sum of t^3 - t over groups of ties, by group of the
-    first of its members (they add up over groups)."""
+    """group, n, rank_sum, median, and ties: the sum of t^3 - t over groups of ties, by group of their
+    members (they add up over groups). Ranks are of values, not of rows."""
     rows = df.select(F.col(group).alias("group"), num(value).alias("v")).dropna()
-    tied = F.count("*").over(Window.partitionBy("v"))
-    ranked = rows.select("group", "v", average_rank(F.col("v")).alias("r"), (tied * tied - 1).cast("double").alias("t"))
-    return ranked.groupBy("group").agg(F.count("*").alias("n"), F.sum("r").alias("rank_sum"), F.median("v").alias("median"), F.sum("t").alias("ties"))
+    ranks = value_ranks(rows, "v").select("v", "rank", (F.col("n") * F.col("n") - 1).cast("double").alias("t"))
+    counts = rows.groupBy("group", "v").agg(F.count("*").alias("n")).join(ranks, "v")
+    sums = counts.groupBy("group").agg(F.sum(F.col("n") * F.col("rank")).alias("rank_sum"), F.sum(F.col("n") * F.col("t")).alias("ties"))
+    return rows.groupBy("group").agg(F.count("*").alias("n"), F.median("v").alias("median")).join(sums, "group").select("group", "n", "rank_sum", "median", "ties")
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, first, second, alternative: str = "two-sided") -> dict:
@@ -79,7 +78,7 @@ def kruskal(df: DataFrame, value: str, group: str) -> dict:
 def spearman(df: DataFrame, x: str, y: str, alternative: str = "two-sided") -> dict:
     """Correlation of average ranks over complete pairs; probability by the t distribution."""
     pairs = df.select(num(x).alias("x"), num(y).alias("y")).dropna()
-    ranked = pairs.select(average_rank(F.col("x")).alias("a"), average_rank(F.col("y")).alias("b"))
+    ranked = average_ranks(average_ranks(pairs, "x", "a"), "y", "b")
     n, rho = ranked.agg(F.count("*"), F.corr("a", "b")).first()
     if n < 3 or rho is None or rho != rho:
         return {"n": n, "rho": None, "p": None}

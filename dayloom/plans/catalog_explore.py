@@ -116,7 +116,7 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _spearman(s: SparkSession, d: str) -> DataFrame:
-    ranked = _pairs(s, d).select(stats.average_rank(F.col("x")).alias("a"), stats.average_rank(F.col("y")).alias("b"))
+    ranked = stats.average_ranks(stats.average_ranks(_pairs(s, d), "x", "a"), "y", "b")
     return ranked.agg(F.count("*").alias("n"), F.round(F.corr("a", "b"), 9).alias("rho"))
 
 

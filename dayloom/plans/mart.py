@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dayloom.functions.exprs import KEY, as_date, bands, coalesced, iso_weekday, optional, weekday_name
+from dayloom.functions.positions import rolling_rows, tile, with_position
 
 # The columns a fallback fact takes from the daily table
 SLEEP_FALLBACK = (
@@ -94,17 +95,16 @@ def top_stress_days(aligned: DataFrame, top_n: int = 20) -> DataFrame:
 
 
 def stress_quartiles(aligned: DataFrame, buckets: int = 4) -> DataFrame:
-    """The window orders by value and day, so that ties fall into the same bucket every time."""
-    rows = strict(aligned, "day_awake_average_stress", "nextsleep_recovery_score")
-    quartile = F.ntile(buckets).over(Window.orderBy("day_awake_average_stress", "day_date"))
-    return rows.withColumn("stress_quartile", quartile).groupBy("stress_quartile").agg(
+    """In the order of value and day, so that ties fall into the same bucket every time."""
+    rows, n = with_position(strict(aligned, "day_awake_average_stress", "nextsleep_recovery_score"), "day_awake_average_stress", ("day_date",))
+    return rows.groupBy(tile(F.col("position"), n, buckets).alias("stress_quartile")).agg(
         F.count("*").alias("days"), F.round(F.avg("day_awake_average_stress"), 2).alias("avg_awake_stress"), F.round(F.avg("nextsleep_recovery_score"), 2).alias("avg_next_recovery"), F.round(F.median("nextsleep_recovery_score"), 2).alias("median_next_recovery")
     ).orderBy("stress_quartile")
 
 
 def next_recovery_rolling(aligned: DataFrame, rows_back: int = 6) -> DataFrame:
-    w = Window.orderBy("day_date").rowsBetween(-rows_back, 0)
-    return strict(aligned, "nextsleep_recovery_score").select("day_date", "nextsleep_recovery_score", F.round(F.avg("nextsleep_recovery_score").over(w), 2).alias("next_recovery_7d_ma"))
+    rows = strict(aligned, "nextsleep_recovery_score").select("day_date", "nextsleep_recovery_score", F.unix_date("day_date").alias("__day"))
+    return rolling_rows(rows, "__day", rows_back, lambda w: F.round(F.avg("nextsleep_recovery_score").over(w), 2), "next_recovery_7d_ma").drop("__day")
 
 
 def recovery_risk(aligned: DataFrame) -> DataFrame:
