@@ -185,7 +185,7 @@ def threshold_target(df: DataFrame, source: str, target: str, threshold: float,
     v = num(source)
     tests = {"lt": v < threshold, "le": v <= threshold, "gt": v > threshold, "ge": v >= threshold}
     if direction not in tests:
-        raise ValueError(f"direction must be one of {sorted(tests)}")
+        raise ValueError(f"unknown direction {direction!r}: one of {', '.join(tests)}")
     if source not in df.columns:
         raise KeyError(source)
     return df.withColumn(target, tests[direction].cast("bigint"))
@@ -194,9 +194,9 @@ def threshold_target(df: DataFrame, source: str, target: str, threshold: float,
 def quantile_target(df: DataFrame, source: str, target: str, quantile: float, tail: str = "upper", inclusive: bool = True) -> tuple[DataFrame, float]:
     """The cutoff is the interpolated quantile of the known values; also returned."""
     if not 0 < quantile < 1:
-        raise ValueError("quantile must be between 0 and 1")
+        raise ValueError(f"no quantile: {quantile}")
     if tail not in ("lower", "upper"):
-        raise ValueError("tail must be 'lower' or 'upper'")
+        raise ValueError(f"unknown tail {tail!r}: lower or upper")
     cutoff = df.agg(F.percentile(num(source), F.lit(quantile))).first()[0]
     return threshold_target(df, source, target, float("nan") if cutoff is None else cutoff, {"lower": ("lt", "le"), "upper": ("gt", "ge")}[tail][inclusive]), cutoff
 
