@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--output")
     c.add_argument("--report")
     c.add_argument("--allow-identifiers", action="store_true")
+    c.add_argument("--inplace", action="store_true", help="write over the input")
     c = sub.add_parser("data-dictionary")
     c.add_argument("--input", default="daily_sanitized")
     c.add_argument("--out-dir", default="reports")
@@ -35,26 +36,34 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--input", default="daily_sanitized")
     c.add_argument("--out-dir", default="reports")
     c.add_argument("--no-parquet", action="store_true")
+    c.add_argument("--output-parquet", help="where the labelled days go")
     c.add_argument("--steps-min", type=int, default=50)
     c.add_argument("--stress-any-hours", type=float, default=6)
     c.add_argument("--stress-full-hours", type=float, default=20)
     c.add_argument("--strict-min-score", type=int, default=4)
     c.add_argument("--loose-min-score", type=int, default=3)
     c.add_argument("--top-n", type=int, default=50)
-    sub.add_parser("build-sql-mart")
+    c = sub.add_parser("build-sql-mart")
+    c.add_argument("--db-path", help="folder of the mart's tables")
+    c.add_argument("--overwrite", action="store_true")
+    for name in ("daily", "sleep", "quality"):
+        c.add_argument(f"--{name}", help=f"the {name} table, instead of the one in the data folder")
     c = sub.add_parser("run-sql-portfolio")
+    c.add_argument("--db-path", help="folder of a mart that was built before")
     c.add_argument("--query-dir")
     c.add_argument("--out-dir", default="reports/sql")
     return p
 
 
-def facts(spark, data: str) -> dict:
-    daily = sinks.read_first(spark, f"{data}/daily_sanitized", f"{data}/daily")
+def facts(spark, data: str, daily: str | None = None, sleep: str | None = None, quality: str | None = None) -> dict:
+    daily = sinks.read_first(spark, *([daily] if daily else [f"{data}/daily_sanitized", f"{data}/daily"]))
     optional = []
-    for names in (("sleep_sanitized", "sleep"), ("daily_quality",)):
+    for given, names in ((sleep, ("sleep_sanitized", "sleep")), (quality, ("daily_quality",))):
         try:
-            optional.append(sinks.read_first(spark, *[f"{data}/{n}" for n in names]))
+            optional.append(sinks.read_first(spark, *([given] if given else [f"{data}/{n}" for n in names])))
         except FileNotFoundError:
+            if given:
+                raise
             optional.append(None)
     return {"daily": daily, "sleep": optional[0], "quality": optional[1]}
 
@@ -74,7 +83,13 @@ def run(a: argparse.Namespace, spark) -> str:
         sinks.write_parquet(ingest.build_daily(sinks.read_first(spark, f"{data}/daily_activity"), sinks.read_first(spark, f"{data}/sleep")), f"{data}/daily")
     elif a.command == "sanitize":
         out, report = sanitize(sinks.read_first(spark, path(a.input)), allow_identifiers=a.allow_identifiers)
-        sinks.write_parquet(out, path(a.output or f"{a.input}_sanitized"))
+        if a.inplace:  # a table can't be written while it is read
+            beside = path(a.input).rstrip("/") + "_new"
+            sinks.write_parquet(out, beside)
+            sinks.write_parquet(spark.read.parquet(beside), path(a.input))
+            sinks.remove(spark, beside)
+        else:
+            sinks.write_parquet(out, path(a.output or f"{a.input}_sanitized"))
         sinks.write_json_report(report, a.report or f"{data}/sanitize_report.json")
     elif a.command == "data-dictionary":
         os.makedirs(a.out_dir, exist_ok=True)
@@ -82,15 +97,17 @@ def run(a: argparse.Namespace, spark) -> str:
     elif a.command == "quality":
         config = QualityConfig(a.steps_min, int(a.stress_any_hours * 3600), int(a.stress_full_hours * 3600), a.strict_min_score, a.loose_min_score, a.top_n)
         labelled = label_days(sinks.read_first(spark, path(a.input), f"{data}/daily"), config)
-        sinks.write_quality(labelled, a.out_dir, None if a.no_parquet else f"{data}/daily_quality", a.top_n)
+        sinks.write_quality(labelled, a.out_dir, None if a.no_parquet else path(a.output_parquet or "daily_quality"), a.top_n)
+    elif a.command == "build-sql-mart":
+        f = facts(spark, data, a.daily, a.sleep, a.quality)
+        where = a.db_path or f"{data}/mart"
+        mart.write_mart(f["daily"], where, f["sleep"], f["quality"], a.overwrite)
+        return str(mart.open_mart(spark, where)[1])
     else:
-        f = facts(spark, data)
-        counts = mart.build_mart(spark, f["daily"], f["sleep"], f["quality"])
-        if a.command == "build-sql-mart":
-            return str(counts)
+        found = mart.open_mart(spark, a.db_path or f"{data}/mart")[0]
         if a.query_dir:
             return str(mart.run_sql_directory(spark, a.query_dir, a.out_dir))
-        mart.run_pack(mart.build_facts(f["daily"], f["sleep"], f["quality"]), a.out_dir)
+        mart.run_pack(found, a.out_dir)
     return "done"
 
 

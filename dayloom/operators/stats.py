@@ -48,8 +48,9 @@ def mann_whitney(df: DataFrame, value: str, group: str, first, second, alternati
     n, m = a.n, b.n
     u = a.rank_sum - n * (n + 1) / 2
     ties, total = a.ties + b.ties, n + m
-    if ties == 0 and min(n, m) <= 8 and n * m <= 10_000:
-        upper, lower = mann_whitney_exact_sf(u, n, m), mann_whitney_exact_sf(n * m - u, n, m)
+    if ties == 0 and min(n, m) <= 8:
+        few, many = sorted((n, m))  # the distribution of U is the same either way
+        upper, lower = mann_whitney_exact_sf(u, few, many), mann_whitney_exact_sf(n * m - u, few, many)
     else:
         spread = sqrt(n * m / 12 * (total + 1 - ties / (total * (total - 1))))
         shift = lambda x: normal_sf((x - n * m / 2 - 0.5) / spread) if spread else 1.0

@@ -3,6 +3,7 @@ over temporary views. Missing columns of a fact become typed nulls when the plan
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -157,6 +158,24 @@ def build_mart(spark: SparkSession, daily: DataFrame, sleep: DataFrame | None =
     return {name: df.count() for name, df in {**facts, **views}.items()}
 
 
+def write_mart(daily: DataFrame, path: str, sleep: DataFrame | None = None, quality: DataFrame | None = None, overwrite: bool = False) -> None:
+    """The facts as Parquet tables under ``path``, where ``open_mart`` finds them again."""
+    for name, df in build_facts(daily, sleep, quality).items():
+        try:
+            df.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}/{name}")
+        except AnalysisException as e:
+            raise ValueError(f"{path}/{name} exists; overwrite it by asking for it") from e
+
+
+def open_mart(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """The facts of a written mart; its facts and views are registered and counted."""
+    try:
+        facts = {name: spark.read.parquet(f"{path}/{name}") for name in ("fact_daily", "fact_sleep", "fact_quality")}
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no mart in {path}") from e
+    return facts, build_mart(spark, facts["fact_daily"], facts["fact_sleep"], facts["fact_quality"])
+
+
 #: The query pack over the mart: name -> (what it reads, plan).
 PACK = {
     "01_quality_mix": ("fact_quality", quality_mix),

@@ -30,10 +30,13 @@ def write_json_report(report: dict[str, Any], path: str) -> None:
 
 
 def markdown_table(df: DataFrame, most: int = 200) -> str:
-    """A table of a small result; ``most`` bounds what reaches the driver."""
+    """A table of a small result; ``most`` bounds what reaches the driver. A last line says how many
+    rows are left out."""
     show = lambda v: "" if v is None else str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
     rows = df.limit(most).collect()
-    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *["| " + " | ".join(show(v) for v in r) + " |" for r in rows]])
+    left_out = df.count() - most if len(rows) == most else 0
+    more = [f"\n{left_out} more rows."] if left_out > 0 else []
+    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *["| " + " | ".join(show(v) for v in r) + " |" for r in rows], *more])
 
 
 def quality_report(labelled: DataFrame) -> str:
@@ -61,7 +64,7 @@ def dictionary_report(table: DataFrame, mode: str = "summary") -> str:
     parts.insert(1, ("Key signals", table.where(order > 0).orderBy(order).select("column", "non_null_pct", "median", "inferred_unit")))
     if mode == "full":
         parts.append(("All columns", table.orderBy("inferred_group", "column").drop("example_values")))
-    return "# Data dictionary\n\n" + "\n\n".join(f"## {title}\n\n{markdown_table(df, 1000)}" for title, df in parts) + "\n"
+    return "# Data dictionary\n\n" + "\n\n".join(f"## {title}\n\n{markdown_table(df, max(200, table.count()))}" for title, df in parts) + "\n"
 
 
 def write_dictionary(df: DataFrame, out_dir: str, max_sample_values: int = 5, mode: str = "both") -> DataFrame:
@@ -103,3 +106,9 @@ def read_first(spark: SparkSession, *paths: str) -> DataFrame:
         if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
             return spark.read.parquet(p)
     raise FileNotFoundError(", ".join(paths))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table through Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -19,6 +19,13 @@ def merge_days(old: DataFrame | None, new: DataFrame, batch: int) -> DataFrame:
     return keep_one_per_day(both, [F.desc("__batch")]).drop("__batch")
 
 
+def versions(spark: SparkSession, table_dir: str) -> list[int]:
+    """Numbers of the table's versions, in order; one listing of the folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{table_dir}/v=*")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(int(f.getPath().getName().partition("=")[2]) for f in found or ())
+
+
 def stream_sleep(spark: SparkSession, folder: str, table_dir: str, checkpoint: str) -> StreamingQuery:
     """Watches a folder for sleep exports; version N of the table is table_dir/v=N."""
     files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", ingest.SLEEP_FILES).load(folder)
@@ -26,14 +33,15 @@ def stream_sleep(spark: SparkSession, folder: str, table_dir: str, checkpoint: s
 
     def each(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        try:
-            old = sinks.read_first(session, *[f"{table_dir}/v={n}" for n in range(number - 1, -1, -1)])
-        except FileNotFoundError:
-            old = None
+        before = [n for n in versions(session, table_dir) if n < number]
+        old = session.read.parquet(f"{table_dir}/v={before[-1]}") if before else None
         sinks.write_parquet(merge_days(old, ingest.parse_sleep(batch), number), f"{table_dir}/v={number}")
 
     return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, table_dir: str, most: int = 10_000) -> DataFrame:
-    return sinks.read_first(spark, *[f"{table_dir}/v={n}" for n in range(most, -1, -1)]).orderBy(KEY)
+def latest(spark: SparkSession, table_dir: str) -> DataFrame:
+    found = versions(spark, table_dir)
+    if not found:
+        raise FileNotFoundError(table_dir)
+    return spark.read.parquet(f"{table_dir}/v={found[-1]}").orderBy(KEY)

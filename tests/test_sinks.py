@@ -21,6 +21,10 @@ def test_commands_end_to_end(spark, tmp_path, capsys):
     assert go("data-dictionary", "--out-dir", str(out)) == go("quality", "--out-dir", str(out)) == 0
     assert "## Strict labels" in (out / "quality_summary.md").read_text() and "## All columns" in (out / "data_dictionary.md").read_text()
     assert go("build-sql-mart") == go("run-sql-portfolio", "--out-dir", str(out / "sql")) == 0
+    assert go("build-sql-mart") == 1 and go("build-sql-mart", "--overwrite", "--db-path", str(tmp_path / "m"), "--daily", str(data / "daily")) == 0
+    assert go("run-sql-portfolio", "--db-path", str(tmp_path / "none")) == 1 and spark.read.parquet(str(tmp_path / "m" / "fact_daily")).count() == 2
+    assert go("sanitize", "--inplace") == 0 and "uuid" not in spark.read.parquet(str(data / "daily")).columns and not (data / "daily_new").exists()
+    assert go("quality", "--out-dir", str(out), "--output-parquet", str(tmp_path / "labelled")) == 0 and spark.read.parquet(str(tmp_path / "labelled")).count() == 2
     queries = tmp_path / "q"
     queries.mkdir()
     (queries / "a.sql").write_text("SELECT COUNT(*) AS n FROM vw_day_to_next_sleep;")
@@ -35,5 +39,13 @@ def test_incremental(spark, tmp_path):
     for i, score in enumerate((50, 60)):
         (tmp_path / "in" / f"{i}_sleepData.json").write_text(json.dumps([SLEEP | {"sleepScores": {"overallScore": score}}, SLEEP | {"calendarDate": f"2025-02-0{i + 1}"}]))
         incremental.stream_sleep(spark, folder, table, checkpoint).awaitTermination(120)
-    rows = {str(r[KEY]): r.sleepOverallScore for r in incremental.latest(spark, table, 5).collect()}
+    rows = {str(r[KEY]): r.sleepOverallScore for r in incremental.latest(spark, table).collect()}
     assert rows == {"2025-01-15": 60, "2025-02-01": 82, "2025-02-02": 82}
+
+
+def test_versions_beyond_any_bound_and_rows_left_out(spark, tmp_path):
+    for n in (2, 30_000):
+        spark.createDataFrame([(f"2025-01-0{n % 7 + 1}", n)], f"{KEY} string, n long").write.parquet(str(tmp_path / f"v={n}"))
+    assert incremental.versions(spark, str(tmp_path)) == [2, 30_000] and incremental.latest(spark, str(tmp_path)).first().n == 30_000
+    text = sinks.markdown_table(spark.range(7), 5)
+    assert text.endswith("2 more rows.") and "more rows" not in sinks.markdown_table(spark.range(5), 5)
