@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from dayloom.llm.common import small_batches
 
 MARK = "▁"
-TABLE_ENTRIES = 250_000
+TABLE_ENTRIES = 200_000
 LONG_WORD = 256  # characters; longer words are segmented each time, not kept
 WORD = re.compile(" *[^ ]+| +")
 
@@ -41,8 +41,8 @@ def pieces_cross_marks(processor) -> bool:
 
 
 class ChunkTable(dict):
-    """Marked word -> (ids as int32 bytes, ids as text, decoded text). A key is the word without
-    its first marker, as the library puts that one itself."""
+    """Marked word -> (ids as text, decoded text). A key is the word without its first marker, as the
+    library puts that one itself."""
 
     def __init__(self, processor, entries: int = TABLE_ENTRIES):
         super().__init__()
@@ -56,7 +56,7 @@ class ChunkTable(dict):
         ids = self.processor.encode(word) if word else [self.mark_id]
         # the library drops the first marker in decoding; behind another word it stays
         text = self.processor.decode(ids) if word else ""
-        value = (np.array(ids, np.int32).tobytes(), ",".join(map(str, ids)), word if text == word else text)
+        value = (",".join(map(str, ids)), word if text == word else text)
         if len(word) <= LONG_WORD:
             if len(self) >= self.entries:
                 self.clear()
@@ -73,12 +73,16 @@ def marked_words(text: str) -> list[str]:
     return [w[1:] for w in WORD.findall(" " + text)]
 
 
+def joined_text(parts: list[tuple]) -> str:
+    return ",".join([p[0] for p in parts])
+
+
 def joined_ids(parts: list[tuple]) -> np.ndarray:
-    return np.frombuffer(b"".join([p[0] for p in parts]), np.int32)
+    return np.fromstring(joined_text(parts), np.int32, sep=",") if parts else np.empty(0, np.int32)
 
 
 def decode_joined(parts: list[tuple]) -> str:
-    return " ".join([p[2] for p in parts])
+    return " ".join([p[1] for p in parts])
 
 
 def encode_documents(df: DataFrame, model_file: str, text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -98,13 +102,13 @@ def encode_documents(df: DataFrame, model_file: str, text: str = "text", with_id
             count, shas, texts, all_ids, decoded = [], [], [], [], []
             for t in b.column(where).to_pylist():
                 parts = [look(w) for w in marked_words(t or "")]
-                said = ",".join([p[1] for p in parts])
+                said = joined_text(parts)
                 back = decode_joined(parts)
                 count.append(said.count(",") + 1 if said else 0)
                 shas.append(hashlib.sha256(said.encode()).hexdigest())
                 texts.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
                 if with_ids:
-                    all_ids.append(joined_ids(parts))
+                    all_ids.append(np.fromstring(said, np.int32, sep=",") if said else np.empty(0, np.int32))
                     decoded.append(back)
             more = [pa.array(count, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())]
             if with_ids:
