@@ -53,7 +53,7 @@ LEAST_FREQUENT = 16  # documents that a frequent shingle leads, at least
 HASH_BITS = 57  # of a shingle; above them the power of two of its count, 0 if it is not frequent
 HOT = 1 << HASH_BITS
 FOLLOWERS = 256  # of one leader that one task compares
-SEGMENT = 1 << 19  # bytes of text hashed at once
+SEGMENT = 1 << 18  # bytes of text hashed at once
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -181,7 +181,7 @@ def ordered_sets(texts: list[str | None], k: int, frequent: tuple[np.ndarray, np
     if len(known):
         at = np.minimum(np.searchsorted(known, values), len(known) - 1)
         hot = known[at] == values
-        values[hot] |= level[at[hot]] << HASH_BITS
+        values[hot] |= level[at[hot]].astype(np.int64) << HASH_BITS
         rare = rare - np.diff(np.concatenate([[0], np.cumsum(hot)])[offsets])
         for i in np.flatnonzero(rare < np.diff(offsets)):
             values[offsets[i] : offsets[i + 1]].sort()
@@ -233,7 +233,7 @@ def _frequent(docs: DataFrame, k: int, num: int, den: int):
         at = np.searchsorted(both, more)
         counts[at] = np.maximum(counts[at], m)
         first, n = both, counts
-    return spark.sparkContext.broadcast((first, np.floor(np.log2(np.maximum(n, 2))).astype(np.int64)))
+    return spark.sparkContext.broadcast((first, np.floor(np.log2(np.maximum(n, 2))).astype(np.int8)))
 
 
 def _led(docs: DataFrame, k: int, num: int, den: int, frequent) -> DataFrame:
