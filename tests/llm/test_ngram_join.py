@@ -95,3 +95,30 @@ def test_hashes_and_bounds():
         e = j.spare(n, 90, 100)
         assert e == max(x for x in range(n + 1) if 100 * (n - x) >= 90 * n)
         assert j.lead_length(n, 90, 100) >= min(n, e + 1) and 1 <= j.needed(n, 90, 100)
+
+
+def test_a_doc_id_with_two_texts_links_as_either(spark):
+    rng = random.Random(9)
+    a, b = (" ".join(f"{k}{rng.randrange(10_000)}" for _ in range(60)) for k in "ab")
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a), (1, b), (5, near(a)), (6, near(b)), (7, "x y z"), (1, a), (3, b)]
+    for order in (rows, rows[::-1]):
+        out = j.jaccard_components(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert len(out) == 7 and {(r.doc_id, r.component_id) for r in out} == {(1, 1), (5, 1), (6, 1), (7, 7), (3, 1)}
+
+
+def test_pairs_grow_with_rows_not_with_their_square(spark, monkeypatch):
+    """Near copies of one short text, most of which link with nothing, and a passage in all documents."""
+    rng = random.Random(21)
+    base = [f"b{rng.randrange(5000)}" for _ in range(60)]
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(600):
+        w = list(base) if i % 2 else [f"w{rng.randrange(3000)}" for _ in range(25)]
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(100_000)}"
+        rows.append((i, " ".join(w + passage)))
+    counted, inner = [], j._compare
+    monkeypatch.setattr(j, "_compare", lambda pairs, *rest: (counted.append(pairs.count()), inner(pairs, *rest))[1])
+    check(spark, rows, 3, 90, 100)
+    assert sum(counted) < 6 * len(rows)

@@ -42,3 +42,23 @@ def test_moments_and_edges(spark):
 def test_fold(spark):
     got = [r.h for r in spark.range(50).select(q.held_out(q.F.col("id"), 5, 0).alias("h")).collect()]
     assert got == [binascii.crc32(str(i).encode()) % 5 == 0 for i in range(50)]
+
+
+def test_risk_of_negatives_stays_above_zero():
+    """With an overestimated prior the unbiased risk of the negatives is below 0; the steps that the
+    method takes then bring it back, and the bounded risk is no worse than that of the unbiased fit."""
+    rng = np.random.default_rng(5)
+    p = np.column_stack([np.ones(40), rng.normal(2, 0.3, 40), rng.normal(0, 1, (40, 6))])
+    u = np.column_stack([np.ones(400), np.concatenate([rng.normal(2, 0.3, 100), rng.normal(-2, 0.3, 300)]), rng.normal(0, 1, (400, 6))])
+    mp, mu, prior = p.T @ p / len(p), u.T @ u / len(u), 0.6  # a quarter of u is positive
+
+    def negatives(w):
+        part = lambda m, s: (1 - 2 * s * (m[0] @ w) + w @ m @ w) / 4
+        return part(mu, -1) - prior * part(mp, -1), prior * part(mp, 1)
+
+    unbiased = np.linalg.solve(mu + 1e-4 * np.eye(8), 2 * prior * mp[0] - mu[0])
+    w, risk = q.minimise(mp, mu, prior)
+    low, plus = negatives(unbiased)
+    got, got_plus = negatives(w)
+    assert low < -0.01 and got > low + 0.01 and got > -0.005
+    assert abs(risk - (got_plus + max(0.0, got))) < 1e-12 and risk <= plus + 0.05
