@@ -160,6 +160,11 @@ def row_range(df: DataFrame, label: str) -> DataFrame:
     return df.agg(F.lit(label).alias("slice"), F.count("*").alias("rows"), F.min(KEY).alias("first_day"), F.max(KEY).alias("last_day"))
 
 
+def duplicate_days(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Days (of each entity) that have more than one row, and how many."""
+    return df.groupBy(*keys, as_date(KEY).alias(KEY)).agg(F.count("*").alias("rows")).where("rows > 1")
+
+
 def positive_rates(df: DataFrame, score: str, thresholds: Sequence[float]) -> DataFrame:
     """Share of rows below each threshold; unknown scores count as not below."""
     one = df.agg(*[F.avg(F.coalesce(num(score) < t, F.lit(False)).cast("double")).alias(f"t{i}") for i, t in enumerate(thresholds)])

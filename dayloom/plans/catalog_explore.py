@@ -82,8 +82,8 @@ register("c20_night_intervals", lambda s, d: rounded(explore.nights_table(testbe
 h AS (SELECT "calendarDate", bucket, hour(a) + minute(a) / 60.0::DOUBLE + second(a) / 3600.0::DOUBLE AS a, hour(b) + minute(b) / 60.0::DOUBLE + second(b) / 3600.0::DOUBLE AS b FROM t WHERE a IS NOT NULL AND b IS NOT NULL),
 g AS (SELECT "calendarDate", bucket, CASE WHEN a < 16 THEN a + 24 ELSE a END AS a, CASE WHEN b < 16 THEN b + 24 ELSE b END AS b FROM h)
 SELECT "calendarDate", ROUND(a, 9) AS start_h, ROUND(CASE WHEN b < a THEN b + 24 ELSE b END, 9) AS end_h, bucket FROM g"""))
-register("a35_duplicate_days", lambda s, d: s.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_orderdate").cast("date").alias(KEY)).agg(F.count("*").alias("rows")).where("rows > 1"), 'SELECT CAST(o_orderdate AS DATE) AS "calendarDate", COUNT(*) AS rows FROM orders GROUP BY 1 HAVING COUNT(*) > 1')
-_LINEITEM = ("l_orderkey", "l_quantity", "l_returnflag", "l_shipdate")
+register("a35_duplicate_days", lambda s, d: explore.duplicate_days(s.read.parquet(f"{d}/orders.parquet").withColumn(KEY, F.col("o_orderdate"))), 'SELECT CAST(o_orderdate AS DATE) AS "calendarDate", COUNT(*) AS rows FROM orders GROUP BY 1 HAVING COUNT(*) > 1')
+_LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 register("a25_missingness", lambda s, d: explore.missingness(s.read.parquet(f"{d}/lineitem.parquet"), _LINEITEM), "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", COUNT(*) - COUNT({c}) AS missing_count, ROUND((COUNT(*) - COUNT({c})) * 100.0::DOUBLE / COUNT(*), 2) AS missing_pct, COUNT(DISTINCT {c}) AS n_unique FROM lineitem" for c in _LINEITEM) + ")")
 
 # ---------------------------------------------------------------- dictionary and sanitising
@@ -93,7 +93,7 @@ _DICT_COLUMNS = ("totalSteps", "maxHeartRate", "stressTotalDurationSeconds", "sl
 register("k1_dictionary", lambda s, d: dictionary.build_dictionary(testbed.merged(testbed.fact_daily(s, d), testbed.fact_sleep(s, d)).select(KEY, *_DICT_COLUMNS)).where(F.col("column") != KEY).select(*_DICT, "inferred_unit", "inferred_group", "analysis_priority"), oracle(" UNION ALL ".join(f"""
 SELECT '{c}' AS "column", COUNT("{c}") AS non_null_count, COUNT(*) - COUNT("{c}") AS missing_count, COUNT(DISTINCT "{c}") AS n_unique, COUNT(DISTINCT "{c}") <= 1 AS is_constant, CAST(MIN("{c}") AS DOUBLE) AS min, quantile_cont(CAST("{c}" AS DOUBLE), 0.25) AS p25, MEDIAN(CAST("{c}" AS DOUBLE)) AS median, CAST(MAX("{c}") AS DOUBLE) AS max,
 MIN("calendarDate") FILTER (WHERE "{c}" IS NOT NULL) AS first_non_null_date, MAX("calendarDate") FILTER (WHERE "{c}" IS NOT NULL) AS last_non_null_date, CAST(date_diff('day', MIN("calendarDate") FILTER (WHERE "{c}" IS NOT NULL), MAX("calendarDate") FILTER (WHERE "{c}" IS NOT NULL)) + 1 AS INTEGER) AS coverage_span_days, '{u}' AS inferred_unit, '{g}' AS inferred_group, 'high' AS analysis_priority FROM merged""" for c, u, g in (("totalSteps", "", "steps_distance"), ("maxHeartRate", "bpm", "heart_rate"), ("stressTotalDurationSeconds", "Seconds", "stress"), ("sleepOverallScore", "", "sleep")))))
-register("k1_dictionary_customer", lambda s, d: dictionary.build_dictionary(s.read.parquet(f"{d}/customer.parquet")).select("column", "non_null_count", "n_unique", "inferred_group"), None)
+register("k1_dictionary_customer", lambda s, d: dictionary.build_dictionary(s.read.parquet(f"{d}/customer.parquet")).select("column", "non_null_count", "n_unique", "inferred_group"), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", COUNT({c}) AS non_null_count, COUNT(DISTINCT {c}) AS n_unique, 'other' AS inferred_group FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")))
 register("v3_stress_sentinels", lambda s, d: sanitize.null_stress_levels(testbed.fact_sleep(s, d).withColumn("avgSleepStress", F.col("avgSleepStress") * 4 - 20), count=False)[0].select(KEY, "avgSleepStress"), oracle('SELECT "calendarDate", CASE WHEN "avgSleepStress" * 4 - 20 BETWEEN 0 AND 100 THEN "avgSleepStress" * 4 - 20 END AS "avgSleepStress" FROM fact_sleep'))
 
 
