@@ -38,8 +38,8 @@ def stress_level(name: str) -> bool:
 
 def guid_columns(df: DataFrame) -> list[str]:
     """Text columns whose first known values look like GUIDs: all of fewer than five, else four
-    fifths. "First" is by the day, if there is one. One aggregate over all text columns; the sample
-    is the smallest GUID_SAMPLE of (day, value), kept by a bounded heap, not a sort of the table."""
+    fifths. "First" is by the day, if there is one. One job a text column: the smallest GUID_SAMPLE of
+    (day, value), of which each task keeps as many, and an aggregate over them."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != KEY]
     found = []
     for name in texts:
