@@ -4,11 +4,12 @@ written tables that cut lineage, and Arrow batches of bounded size."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,26 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives its memory back. Spark keeps a Python worker for later tasks, and
+    what a task has freed would stay with the worker while other tasks run in the executor."""
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
+def trim() -> None:
+    """Gives what the process has freed back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 #: Bits of a filter that is sent to executors (4 MB), and of the blocks it is put together from.
 FILTER_BITS, BLOCK_BITS = 1 << 25, 1 << 15
 
@@ -80,7 +101,7 @@ def bit_filter(values: DataFrame) -> Broadcast:
         used = np.flatnonzero(blocks.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=["block", "bits"])
 
-    parts = values.select(F.col(values.columns[0]).cast("long")).mapInArrow(run, "block int, bits binary").groupBy("block").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
+    parts = values.select(F.col(values.columns[0]).cast("long")).mapInArrow(lean(run), "block int, bits binary").groupBy("block").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
     bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
     for row in parts.collect():  # at most FILTER_BITS / BLOCK_BITS rows
         bitmap[row.block * BLOCK_BITS // 8 : (row.block + 1) * BLOCK_BITS // 8] = np.frombuffer(row.bits, np.uint8)

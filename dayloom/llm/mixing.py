@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dayloom.llm.common import Scratch, free_name, small_batches
+from dayloom.llm.common import Scratch, free_name, lean, small_batches
 
 SAMPLE = 4000
 LEAST_ROWS = 200
@@ -100,7 +100,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domain: str, sample: int =
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([d] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at])], names=["domain", "pair", "n"])
 
-    cells = one.mapInArrow(count, "domain string, pair int, n long").groupBy("domain", "pair").agg(F.sum("n").alias("n")).toArrow()
+    cells = one.mapInArrow(lean(count), "domain string, pair int, n long").groupBy("domain", "pair").agg(F.sum("n").alias("n")).toArrow()
     of = cells["domain"].combine_chunks().dictionary_encode()
     of = of.combine_chunks() if isinstance(of, pa.ChunkedArray) else of
     found = of.dictionary.to_pylist()
@@ -126,7 +126,7 @@ def memberships(docs: DataFrame, model: DomainModel, text: str = "text") -> Data
             words = pa.array([len((t or "").split()) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], words, pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * k, pa.int32()), pa.array(flat))], names=schema.names)
 
-    return docs.select(*[f.name for f in keep], text).mapInArrow(run, schema)
+    return docs.select(*[f.name for f in keep], text).mapInArrow(lean(run), schema)
 
 
 @dataclass
@@ -180,7 +180,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array(out)], names=["i", "v"])
 
-        rows = members.select("n_tokens", "posterior").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        rows = members.select("n_tokens", "posterior").mapInArrow(lean(run), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
         found = np.zeros(max([r.i for r in rows], default=-1) + 1)
         for r in rows:
             found[r.i] = r.v
@@ -231,7 +231,7 @@ def with_rates(members: DataFrame, mix: Mix) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mix.rates(_columns(b, k)[1]))], names=schema.names)
 
-    out = members.select(*[f.name for f in keep]).mapInArrow(run, schema)
+    out = members.select(*[f.name for f in keep]).mapInArrow(lean(run), schema)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     return out.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
 
@@ -252,7 +252,7 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, domain: str = "lang", le
             rates = mix.rates(np.stack([model.posterior(t).astype(np.float32).astype(np.float64) for t in b.column(where).to_pylist()])) if b.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates)], names=[*schema.names, rate])
 
-    out = docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField(rate, T.DoubleType())]))
+    out = docs.mapInArrow(lean(run), T.StructType([*schema.fields, T.StructField(rate, T.DoubleType())]))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(rate) + (draw < F.col(rate) - F.floor(rate)).cast("long")
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(copies, F.lit(0).cast("long"))))).where(copies > 0).select(*docs.columns)

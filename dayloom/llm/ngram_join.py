@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import Scratch, bit_filter, passes, release, small_batches
+from dayloom.llm.common import Scratch, bit_filter, lean, passes, release, small_batches
 
 FREQUENT = 1 << 20  # bound on the number of frequent shingles, which are broadcast (9 MB)
 LEAST_FREQUENT = 16  # documents that a frequent shingle leads, at least
@@ -210,7 +210,7 @@ def _count(docs: DataFrame, k: int, num: int, den: int, known, floor: int) -> tu
                 lead = (4 * hits >= lead_length(n, num, den))[row]
             yield pa.RecordBatch.from_arrays([pa.array(values[lead])], names=["v"])
 
-    counts = docs.select("text").mapInArrow(run, "v long").groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_FREQUENT)
+    counts = docs.select("text").mapInArrow(lean(run), "v long").groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_FREQUENT)
     scratch = Scratch(docs.sparkSession)
     counts = scratch.put(counts, "frequent")
     while counts.where(F.col("n") > floor).count() > FREQUENT // 2:  # at most FREQUENT shingles: raises the floor until they are
@@ -247,7 +247,7 @@ def _led(docs: DataFrame, k: int, num: int, den: int, frequent) -> DataFrame:
             need = np.where(n > 0, needed(n, num, den), 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(rare, pa.int32()), pa.array(need, pa.int32()), _lists(values, offsets, lead_length(n, num, den))], names=["doc_id", "n", "digest", "rare", "need", "lead"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest binary, rare int, need int, lead array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n int, digest binary, rare int, need int, lead array<long>")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -314,7 +314,7 @@ def _meet(sets: DataFrame) -> DataFrame:
                 out = [b.column("x"), b.column("y"), *(pa.array(c, pa.int32()) for c in (shared, hot, n, y_n, mark, y_mark))]
                 yield pa.RecordBatch.from_arrays(out, names=[f.split()[0] for f in MET.split(", ")]).filter(pa.array(follows))
 
-    return sets.repartition("y", "part").sortWithinPartitions("y", "part", "follows").mapInArrow(run, MET)
+    return sets.repartition("y", "part").sortWithinPartitions("y", "part", "follows").mapInArrow(lean(run), MET)
 
 
 def _possible(pairs: DataFrame, kept: DataFrame, scratch: Scratch) -> DataFrame:
@@ -354,8 +354,8 @@ def _compare(pairs: DataFrame, docs: DataFrame, heads: DataFrame, scratch: Scrat
                 lists = _lists(np.concatenate([v for v, _ in sets]), np.cumsum(sizes) - sizes, sizes)
                 yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in ("x", "y", "part", "follows")], pa.array([r for _, r in sets], pa.int32()), lists], names=["x", "y", "part", "follows", "mark", "tokens"])
 
-    texts = docs.mapInArrow(pick, docs.schema).join(tasks, "doc_id").select("x", "y", "part", "follows", "digest", "text")
-    met = _meet(texts.mapInArrow(hashed, "x long, y long, part int, follows boolean, mark int, tokens array<long>"))
+    texts = docs.mapInArrow(lean(pick), docs.schema).join(tasks, "doc_id").select("x", "y", "part", "follows", "digest", "text")
+    met = _meet(texts.mapInArrow(lean(hashed), "x long, y long, part int, follows boolean, mark int, tokens array<long>"))
     linked = F.lit(den) * F.col("shared") >= F.lit(num) * (F.col("x_n") + F.col("y_n") - F.col("shared"))
     apart = F.col("x_n") - F.col("x_mark") + F.col("y_n") - F.col("y_mark") - 2 * F.col("hot")
     found = scratch.put(met.select("x", "y", linked.alias("linked"), apart.alias("apart")), "compared")
@@ -382,7 +382,7 @@ def _exchanged(heads: DataFrame, shared=None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v[keep]), pa.array(place[keep], pa.int32()), *[b.column(c).take(take) for c in ("x", "rare", "n", "need")]], names=["v", "place", "x", "rare", "n", "need"])
 
     names = ["lead"] if shared is None else ["x", "rare", "n", "need", "lead"]
-    return heads.select(*names).mapInArrow(run, "v long" if shared is None else "v long, place int, x long, rare int, n int, need int")
+    return heads.select(*names).mapInArrow(lean(run), "v long" if shared is None else "v long, place int, x long, rare int, n int, need int")
 
 
 def _classes(led: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame | None]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from dayloom.llm.common import small_batches
+from dayloom.llm.common import lean, small_batches
 
 MARK = "▁"
 TABLE_ENTRIES = 200_000
@@ -116,7 +116,7 @@ def encode_documents(df: DataFrame, model_file: str, text: str = "text", with_id
                 more += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids) if all_ids else np.empty(0, np.int32))), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[f.name for f in schema.fields])
 
-    return df.select(*[f.name for f in keep]).mapInArrow(run, schema)
+    return df.select(*[f.name for f in keep]).mapInArrow(lean(run), schema)
 
 
 def default_model_file() -> str:

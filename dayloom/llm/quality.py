@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
-from dayloom.llm.common import Scratch, small_batches
+from dayloom.llm.common import Scratch, lean, small_batches
 
 THRESHOLD = 0.3
 LEAST_KEPT = 0.2
@@ -78,7 +78,7 @@ def with_features(df: DataFrame, text: str = "text", out: str = "shape") -> Data
             flat = pa.array(np.concatenate(x) if x else np.empty(0, np.float32), pa.float32())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * FEATURES, pa.int32()), flat)], names=schema.names)
 
-    return df.select(*[f.name for f in keep], text).mapInArrow(run, schema)
+    return df.select(*[f.name for f in keep], text).mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -111,7 +111,7 @@ def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray]]:
 
     out = {k: (0.0, np.zeros((FEATURES, FEATURES))) for k in (0, 1)}
     cells: dict[int, np.ndarray] = {k: np.zeros(len(upper[0])) for k in (0, 1)}
-    for k, i, v in rows.select("shape", "trusted").mapInArrow(run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
+    for k, i, v in rows.select("shape", "trusted").mapInArrow(lean(run), "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
         cells[k][i] = v
     for k, v in cells.items():
         m = np.zeros((FEATURES, FEATURES))
@@ -196,7 +196,7 @@ def score_documents(df: DataFrame, model: PuModel, text: str = "text", out: str
             score = model.score(np.stack(x)) if x else np.empty(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=schema.names)
 
-    return df.select(*[f.name for f in keep]).mapInArrow(run, schema)
+    return df.select(*[f.name for f in keep]).mapInArrow(lean(run), schema)
 
 
 def op7_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
